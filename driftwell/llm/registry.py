@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup
+from . import ann_tree, chat_format, exact_dedup, mixing, packing, token_files
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat_format.op1_chat_format,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op4_mix": mixing.op4_mix,
+        "op6_pack": packing.op6_pack,
+        "op8_token_files": token_files.op8_token_files,
+        "op10_ann": ann_tree.op10_ann,
     }
 
 
