@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import ann_tree, chat_format, exact_dedup, mixing, packing, token_files
+from . import ann_tree, bagminhash, chat_format, exact_dedup, mixing, packing, quality_qda, token_files, toxicity_gru
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat_format.op1_chat_format,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_quality": quality_qda.op3_quality,
         "op4_mix": mixing.op4_mix,
+        "op5_toxicity": toxicity_gru.op5_toxicity,
         "op6_pack": packing.op6_pack,
         "op8_token_files": token_files.op8_token_files,
+        "op9_near_dedup": bagminhash.op9_near_dedup,
         "op10_ann": ann_tree.op10_ann,
     }
 
