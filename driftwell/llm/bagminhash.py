@@ -69,8 +69,8 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         words = np.empty(0, np.uint64)
     n = np.where(empty, 0, lengths)
     rolled = words.copy()
-    for k in range(1, WORDS):
-        rolled[: len(words) - k] = _mix(rolled[: len(words) - k] * _A + words[k:])
+    for k in range(1, min(WORDS, len(words))):
+        rolled[:-k] = _mix(rolled[:-k] * _A + words[k:])
     counts = np.where(n >= WORDS, n - WORDS + 1, np.minimum(n, 1))
     starts = np.concatenate([[0], np.cumsum(counts)])
     out, digests = np.empty(starts[-1], np.uint64), []
