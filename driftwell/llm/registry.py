@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann_tree, bagminhash, chat_format, exact_dedup, mixing, packing, quality_qda, token_files, toxicity_gru
+from . import ann_tree, bagminhash, chat_format, exact_dedup, mixing, packing, quality_qda, token_files, toxicity_gru, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_mix": mixing.op4_mix,
         "op5_toxicity": toxicity_gru.op5_toxicity,
         "op6_pack": packing.op6_pack,
+        "op7_warc": warc.op7_warc,
         "op8_token_files": token_files.op8_token_files,
         "op9_near_dedup": bagminhash.op9_near_dedup,
         "op10_ann": ann_tree.op10_ann,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat_format.OP1_SQL, "op2_exact_dedup": exact_dedup.OP2_SQL}
+    return {"op1_chat_format": chat_format.OP1_SQL, "op2_exact_dedup": exact_dedup.OP2_SQL, "op7_warc": warc.OP7_SQL}
