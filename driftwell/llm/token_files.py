@@ -29,13 +29,13 @@ def encode_documents(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFr
     """(doc_id, text), in parts sorted by doc_id -> rows of a token file. Null and empty texts are the end id alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, end, part, before = encoder(path, spaced=False), end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), 0
+        code, part, before = encoder(path, spaced=False), TaskContext.get().partitionId(), 0
         for b in batches:
-            made = [x + end for x in code.encode([t or "" for t in b.column("text").to_pylist()])]
-            n = np.fromiter((len(x) // 4 for x in made), np.int64, len(made))
-            at = np.concatenate([[0], np.cumsum(n)])
-            ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.frombuffer(b"".join(made), np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(before + at[:-1]), pa.array(n), ids], ["doc_id", "part", "local_start", "n_tokens", "ids"])
+            ids, at = code.encode(b.column("text"))
+            ids = np.insert(ids.astype(np.int32), at[1:], end_id)
+            at = at + np.arange(len(at))
+            n = np.diff(at)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(before + at[:-1]), pa.array(n), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], ["doc_id", "part", "local_start", "n_tokens", "ids"])
             before += int(at[-1])
 
     return docs.mapInArrow(run, ROWS)
