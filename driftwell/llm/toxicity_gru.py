@@ -185,13 +185,16 @@ def _pad(ids: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return ids[at] if len(ids) else np.zeros(at.shape, np.int64)
 
 
-def fit(texts: list[str], y: np.ndarray, rounds: int = 5, batch: int = 512, rate: float = 0.02, seed: int = 5) -> BiGru:
-    """Adam on windows that carry their text's label: two rounds on up to ``PER_DOC`` windows of each text taken at random, then rounds on the windows that the network ranks highest, a third as many for texts of label 1 (most of whose windows are harmless)."""
+def fit(texts: list[str], y: np.ndarray, rounds: int = 5, batch: int = 512, rate: float = 0.02, seed: int = 5, least: int = 200) -> BiGru:
+    """Adam on windows that carry their text's label: two rounds on up to ``PER_DOC`` windows of each text taken at random, then rounds on the windows that the network ranks highest, a third as many for texts of label 1 (most of whose windows are harmless). Small samples get more rounds, to ``least`` steps or so."""
     net, rng = BiGru(seed), np.random.default_rng(seed)
     all_texts = pa.array(texts, pa.string())
     ids, at, lex = read_words(all_texts)
     text, first, sizes = windows(at)
     m, v, step = {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}, 0
+    some = min(len(text), PER_DOC * len(texts))
+    batch = max(16, min(batch, some // 8))
+    rounds = max(rounds, -(-least * batch // max(1, some)))
     for turn in range(rounds):
         value = rng.random(len(text)) if turn < 2 else -window_logits(net, ids, lex, first, sizes)
         by = np.lexsort((value, text))

@@ -64,9 +64,9 @@ def corpus(seed=3):
     return list(zip(ids, text, strict=True))
 
 
-@pytest.mark.parametrize("short_lists", [64, 2])
-def test_classes_match_brute_force(spark, monkeypatch, short_lists):
-    monkeypatch.setattr(b, "LIST", short_lists)
+@pytest.mark.parametrize("block", [1_500_000, 150])
+def test_classes_match_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(b, "BLOCK", block)
     rows = corpus()
     docs = spark.createDataFrame([(i, t, "en", 1, True) for i, t in rows], "doc_id long, text string, bands string, class_id long, kept boolean")
     got = {r["doc_id"]: r for r in b.near_classes(docs).collect()}
