@@ -12,10 +12,11 @@ others meet in the buckets of ``BANDS`` bands; nothing lists the pairs of a buck
    buckets whose members are all copies of one original;
 2. documents that are still apart from the leader of one of their buckets are compared
    with that leader;
-3. the members of buckets that still hold several components are joined exactly, by the
-   prefix filter: similar documents share one of the rarest fifth of their shingles. Lists
-   of up to ``LIST`` documents give their pairs across components; in longer lists one
-   document after the other becomes the leader that the rest is compared with.
+3. the members of buckets that still hold several components are joined exactly. By the
+   prefix filter, similar documents share one of the rarest fifth of their shingles, so only
+   documents that such shingles connect can be similar; each set of these (a family) is cut into
+   blocks of ``BLOCK`` shingles, and a task counts what the documents of two blocks share.
+   It gives back the links that join components, at most one for each document.
 
 Every link comes from comparing the whole multisets. A pair at 0.8 shares no band with
 probability (1 - 0.8^7)^36 = 0.0002, at 0.85 less than 1e-5.
@@ -37,7 +38,7 @@ from . import exact_dedup
 from ._stage import release, staged
 
 WORDS, BANDS, ROWS = 5, 36, 7
-LIST, LEADERS = 64, 16
+BLOCK = 1_500_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -244,8 +245,8 @@ def _with_comp(rows: DataFrame, label: DataFrame | None, doc: str, comp: str) ->
     return rows.join(label.select(F.col("doc").alias(doc), F.col("comp").alias("_c")), doc, "left").withColumn(comp, F.coalesce("_c", doc)).drop("_c")
 
 
-def _prefix_lists(open_docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(token, doc, comp) of the rarest fifth of each document's tokens, for tokens that several documents have."""
+def _token_sets(open_docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc, comp) -> the same with the document's tokens, written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -256,13 +257,73 @@ def _prefix_lists(open_docs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("comp"), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))], ["doc", "comp", "tokens"])
 
     rows = open_docs.join(texts, "doc").select("doc", "comp", "text").mapInArrow(run, "doc long, comp long, tokens array<long>")
-    rows = staged(rows.select("doc", "comp", F.size("tokens").alias("n"), F.explode("tokens").alias("token")), "tokens")
-    many = rows.groupBy("token").agg(F.count("*").alias("df"))
-    nth = F.row_number().over(Window.partitionBy("doc").orderBy("df", "token"))
-    first = rows.join(many, "token").withColumn("nth", nth).filter(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * F.lit(4) / F.lit(5)) + 1)
-    first = first.filter("df > 1").select("token", "doc", "comp", "n")
-    apart = first.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("token", "size")
-    return staged(first.join(apart, "token"), "lists")
+    return staged(rows, "tokens")
+
+
+def _families(sets: DataFrame) -> DataFrame | None:
+    """(doc, family) of documents that one of the rarest fifth of their tokens ties to another component; the links are stars, a token's smallest document in the middle."""
+    rows = sets.select("doc", "comp", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    many = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    nth = F.row_number().over(Window.partitionBy("doc").orderBy(F.coalesce("df", F.lit(1)), "token"))
+    first = rows.join(many, "token", "left").withColumn("nth", nth).filter(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * F.lit(4) / F.lit(5)) + 1)
+    first = staged(first.filter("df > 1").select("token", "doc", "comp"), "prefixes")
+    heads = first.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("doc").alias("lead")).filter("lo <> hi").select("token", "lead")
+    stars = staged(first.join(heads, "token").filter("doc <> lead").select("doc", "lead").distinct(), "stars")
+    return None if stars.isEmpty() else components(stars).withColumnRenamed("comp", "family")
+
+
+def _family_links(sets: DataFrame, families: DataFrame) -> DataFrame:
+    """(doc, lead) links that join components of a family."""
+    own = staged(sets.join(families, "doc"), "family")
+    blocks = own.groupBy("family").agg(F.ceil(F.sum(F.size("tokens")) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    own = own.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
+    dealt = own.withColumn("pair", F.explode(pair)).select("family", "pair.i", "pair.j", "block", "doc", "comp", "tokens")
+    dealt = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "comp", "doc")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, []
+        for b in batches:
+            sets = b.column("tokens")
+            values, at = sets.values.to_numpy().view(np.uint64), sets.offsets.to_numpy()
+            for r, key in enumerate(zip(b.column("family").to_pylist(), b.column("i").to_pylist(), b.column("j").to_pylist(), strict=True)):
+                if key != here:
+                    if held:
+                        yield _joined(held)
+                    here, held = key, []
+                held.append((b.column("block")[r].as_py() == key[1], key[1] == key[2], b.column("doc")[r].as_py(), b.column("comp")[r].as_py(), values[at[r] : at[r + 1]].copy()))
+        if held:
+            yield _joined(held)
+
+    return dealt.mapInArrow(run, "doc long, lead long")
+
+
+def _joined(held: list[tuple]) -> pa.RecordBatch:
+    """Links between two blocks (or within one) that join components which earlier links have not joined."""
+    left = held if held[0][1] else [h for h in held if h[0]]
+    right = held if held[0][1] else [h for h in held if not h[0]]
+    root, out = {}, []
+
+    def find(c: int) -> int:
+        while root.setdefault(c, c) != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    if left and right:
+        sizes = np.array([len(h[4]) for h in right])
+        tokens = np.concatenate([h[4] for h in right])
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], np.repeat(np.arange(len(right)), sizes)[order]
+        for _, _, doc, comp, own in left:
+            a, z = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+            n = z - a
+            at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            both = np.bincount(owner[at], minlength=len(right))
+            for k in np.flatnonzero(5 * both >= 4 * (len(own) + sizes - both)).tolist():
+                if (p := find(comp)) != (q := find(right[k][3])):
+                    root[max(p, q)] = min(p, q)
+                    out.append((doc, right[k][2]))
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["doc", "lead"])
 
 
 def link(texts: DataFrame, bands: DataFrame) -> DataFrame | None:
@@ -291,21 +352,12 @@ def link(texts: DataFrame, bands: DataFrame) -> DataFrame | None:
     mixed = with_comp.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2")
     open_docs = staged(with_comp.join(mixed.select("bucket"), "bucket", "left_semi").select("doc", "comp").distinct(), "open")
     if not open_docs.isEmpty():
-        lists = _prefix_lists(open_docs, texts)
-        short = lists.filter(F.col("size") <= LIST).select("token", "doc", "comp", "n")
-        other = short.select("token", F.col("doc").alias("lead"), F.col("comp").alias("d"), F.col("n").alias("m"))
-        close = "lead < doc and comp <> d and 5 * least(n, m) >= 4 * greatest(n, m)"
-        more(staged(short.join(other, "token").filter(close).select("doc", "lead").distinct(), "pairs"))
-        nth = F.row_number().over(Window.partitionBy("token").orderBy("doc"))
-        long, at = staged(lists.filter(F.col("size") > LIST).withColumn("nth", nth), "long"), 0
-        longest = long.agg(F.max("nth")).first()[0] or 0
-        while at < longest:
-            now = _with_comp(long.select("token", "doc", "n", "nth"), label, "doc", "comp")
-            lead = now.filter((F.col("nth") > at) & (F.col("nth") <= at + LEADERS)).select("token", F.col("doc").alias("lead"), F.col("comp").alias("d"), F.col("n").alias("m"), F.col("nth").alias("k"))
-            pairs = staged(now.join(lead, "token").filter("nth > k and comp <> d and 5 * least(n, m) >= 4 * greatest(n, m)").select("doc", "lead").distinct(), "pairs")
-            if not pairs.isEmpty():
-                more(pairs)
-            at += LEADERS
+        sets = _token_sets(open_docs, texts)
+        families = _families(sets)
+        if families is not None:
+            new = staged(_family_links(sets, families), "edges")
+            if not new.isEmpty():
+                label = staged(components(edges.union(new)), "comps")
     return label
 
 
