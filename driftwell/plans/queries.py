@@ -256,9 +256,10 @@ def q30b_redo_images(spark, d):
     return recovery.redo(log(spark, d))
 
 
-@query(f"WITH {LOG} SELECT lsn, lag(lsn) OVER (PARTITION BY txn ORDER BY lsn) AS prev_lsn, lag(lsn) OVER (PARTITION BY k ORDER BY lsn) AS page_lsn FROM l")
+@query(f"WITH {LOG} SELECT lsn, coalesce(lag(lsn) OVER (PARTITION BY txn ORDER BY lsn), -1) AS prev_lsn, coalesce(lag(lsn) OVER (PARTITION BY k ORDER BY lsn), -1) AS page_lsn FROM l")
 def q31_prev_lsn_chain(spark, d):
-    return recovery.chains(log(spark, d)).select("lsn", "prev_lsn", "page_lsn")
+    none = F.lit(-1)  # of the first record
+    return recovery.chains(log(spark, d)).select("lsn", F.coalesce("prev_lsn", none).alias("prev_lsn"), F.coalesce("page_lsn", none).alias("page_lsn"))
 
 
 @query(f"WITH {LOG}, r AS (SELECT txn, count(*) AS replicas, count(*) FILTER (WHERE ty IN ('purchase', 'view')) AS acks, least(2, count(*)) AS required FROM l WHERE lsn % 7 = 0 GROUP BY txn) SELECT *, acks >= required AS ok FROM r")
@@ -277,10 +278,10 @@ def q33_latency_summary(spark, d):
     return latency.summary(read(spark, d, "events"), "event_type", "value").withColumn("avg", F.round("avg", 6))
 
 
-@query("WITH b AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL) SELECT event_type, CAST(day AS VARCHAR) AS day, n, n - lag(n) OVER (PARTITION BY event_type ORDER BY day) AS delta FROM b")
+@query("WITH b AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL) SELECT event_type, CAST(day AS VARCHAR) AS day, n, coalesce(n - lag(n) OVER (PARTITION BY event_type ORDER BY day), 0) AS delta FROM b")
 def q34_iteration_delta(spark, d):
     days = read(spark, d, "events").groupBy("event_type", F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("n"))
-    return latency.iteration_delta(days, "event_type", "day", "n")
+    return latency.iteration_delta(days, "event_type", "day", "n").withColumn("delta", F.coalesce("delta", F.lit(0)))
 
 
 def _edges(spark, d) -> DataFrame:
