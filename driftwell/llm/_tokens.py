@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 #: Stems that a worker keeps; beyond, the half used least lately goes.
 KEPT = 2_000_000
 #: Bytes of text that go through at once.
-GROUP = 24_000_000
+GROUP = 8_000_000
 _LOADED: dict[str, CachedEncoder] = {}
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _PUNCTUATION = ".,;:!?"
