@@ -202,8 +202,12 @@ def histories(merged: DataFrame) -> DataFrame:
 
 
 def read_records(captures: DataFrame, folder: str) -> DataFrame:
-    """Captures (file, offset, length, urlkey, ts) -> what their records say, each read at its place; payloads are hashed anew."""
-    dealt = captures.select("file", "offset", "length", "urlkey", "ts").repartition("file").sortWithinPartitions("file", "offset")
+    """Captures (file, offset, length, urlkey, ts) -> what their records say, each read at its place; payloads are hashed anew.
+
+    As many tasks as archives (10,000 at most): the rows are few bytes, what they name is not.
+    """
+    files = captures.select("file").distinct().count()
+    dealt = captures.select("file", "offset", "length", "urlkey", "ts").repartition(max(1, min(files, 10_000)), "file").sortWithinPartitions("file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = FileSystem.from_uri(folder)
