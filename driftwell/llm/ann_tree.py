@@ -212,11 +212,10 @@ def search(rows: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        ids, v, out = right["vec_id"].to_numpy(), np.stack(right["v"]), []
-        for q, x in zip(left["query_id"], left["q"], strict=True):
-            near, score = _nearest(ids, v, q, np.asarray(x), k)
-            out.append(pd.DataFrame({"query_id": q, "vec_id": ids[near], "score": score}))
-        return pd.concat(out, ignore_index=True)
+        ids, v = right["vec_id"].to_numpy(), np.stack(right["v"])
+        found = [(q, *_nearest(ids, v, q, np.asarray(x), k)) for q, x in zip(left["query_id"], left["q"], strict=True)]
+        near, n = np.concatenate([f[1] for f in found]), [len(f[1]) for f in found]
+        return pd.DataFrame({"query_id": np.repeat([f[0] for f in found], n), "vec_id": ids[near], "score": np.concatenate([f[2] for f in found])})
 
     asked = queries.mapInPandas(walk, "query_id long, leaf int, block int, q array<double>").groupBy("leaf", "block")
     filed = index.mapInPandas(block, "vec_id long, v array<double>, leaf int, block int").groupBy("leaf", "block")
