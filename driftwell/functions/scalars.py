@@ -66,7 +66,19 @@ def bloom_hashes(bits: Column, items: Column) -> Column:
     return F.greatest(F.round(bits.cast("double") / n * F.log(F.lit(2.0))), F.lit(1)).cast("int")
 
 
-def bloom_share(level: int, levels: int, growth: float = GROWTH, decay: float = DECAY) -> float:
-    """The weight of an item of ``level`` (deeper levels last) when levels share a memory budget."""
-    up = levels - 1 - level
-    return decay ** (up * (up + 1) / 2) / growth**up
+def bloom_budget(items: Column, level: Column, levels: Column, total_bits: Column, weight_sum: Column, growth: float = GROWTH, decay: float = DECAY) -> Column:
+    """Bits of a level's filter when levels share ``total_bits`` by weight; ``weight_sum`` is the sum of ``bloom_weight`` over levels."""
+    return F.when(weight_sum > 0, F.round(bloom_weight(items, level, levels, growth, decay) / weight_sum * total_bits)).otherwise(0).cast("long")
+
+
+def bloom_weight(items: Column, level: Column, levels: Column, growth: float = GROWTH, decay: float = DECAY) -> Column:
+    """What a level's items weigh: the deeper the level, the more bits an item is worth."""
+    up = (levels - 1 - level).cast("double")
+    return items.cast("double") * F.pow(F.lit(decay), up * (up + 1) / 2) / F.pow(F.lit(growth), up)
+
+
+def bloom_rate(level: Column, levels: Column, growth: float = GROWTH, decay: float = DECAY) -> Column:
+    """The share of false hits that suits a level: 1 for the deepest, 0.0001 at least."""
+    up = (levels - 1 - level).cast("double")
+    rate = F.pow(F.lit(decay), up * (up - 1) / 2) / F.pow(F.lit(growth), up)
+    return F.when(up <= 0, 1.0).otherwise(F.least(F.greatest(rate, F.lit(0.0001)), F.lit(1.0)))

@@ -26,3 +26,8 @@ def summary(rows: DataFrame, group: str, value: str) -> DataFrame:
 def iteration_delta(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
     """Each iteration's change of ``value`` against the one before."""
     return rows.withColumn("delta", F.col(value) - F.lag(value).over(Window.partitionBy(group).orderBy(order)))
+
+
+def report(summaries: DataFrame, path: str) -> None:
+    """Write summaries as JSON lines, one for each group."""
+    summaries.write.mode("overwrite").json(path)

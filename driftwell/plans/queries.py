@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import dml, graph, indexes, latency, recovery, replication, snapshot
+from ..sources import seeds
 from . import session
 
 KEY = 7
@@ -344,6 +345,35 @@ def q42_index_validate(spark, d):
     return indexes.validate(indexes.build(c.filter("c_custkey % 10 <> 0"), ["c_mktsegment"], "c_custkey", indexes.CHUNKS), c, ["c_mktsegment"], "c_custkey")
 
 
+@query("""
+WITH l AS (SELECT * FROM (VALUES (0, 40), (1, 900), (2, 0), (3, 250000)) v(level, items)),
+w AS (SELECT *, items * pow(0.5, (3 - level) * (4 - level) / 2.0) / pow(10.0, 3 - level) AS weight FROM l)
+SELECT level, items, CAST(round(weight / (SELECT sum(weight) FROM w) * 8388608) AS BIGINT) AS bits,
+       CASE WHEN level = 3 THEN 1.0 ELSE greatest(0.0001, pow(0.5, (3 - level) * (2 - level) / 2.0) / pow(10.0, 3 - level)) END::DOUBLE AS rate
+FROM w
+""")
+def q43_bloom_budget(spark, d):
+    levels = spark.createDataFrame([(0, 40), (1, 900), (2, 0), (3, 250000)], "level int, items int")
+    weights = levels.agg(F.sum(scalars.bloom_weight(F.col("items"), F.col("level"), F.lit(4))).alias("total"))
+    # one row of totals
+    return levels.join(F.broadcast(weights)).select("level", "items", scalars.bloom_budget(F.col("items"), F.col("level"), F.lit(4), F.lit(8388608), F.col("total")).alias("bits"), scalars.bloom_rate(F.col("level"), F.lit(4)).alias("rate"))
+
+
+@query("""
+SELECT 't_seed_' || lpad(CAST(i AS VARCHAR), 4, '0') AS id, 'payload-' || lpad(CAST(i AS VARCHAR), 4, '0') || '-' || repeat('x', 24) AS payload
+FROM range(256) r(i) WHERE i % 4 = 0
+""")
+def q44_seed_rows(spark, d):
+    rows = seeds.seeds(spark, "t", 256)
+    return rows.filter(dml.matches(rows, {"category": "hot", "status": "active"})).select("id", "payload")
+
+
+@query(f"WITH {STATES} SELECT l.lsn, l.txn, l.k FROM l JOIN s ON l.txn = s.txn WHERE state = 'C' AND ty = 'view'")
+def q45_committed_operations(spark, d):
+    rows = log(spark, d)
+    return rows.join(states(rows).filter("state = 'C'"), "txn", "left_semi").filter("ty = 'view'").select("lsn", "txn", "k")
+
+
 # beyond the reference: what SELECT gets from Spark SQL
 
 

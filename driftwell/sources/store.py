@@ -90,12 +90,15 @@ class Store:
         return True
 
     def write_batch(self, table: TableDef, rows: DataFrame, kind: str, seq: int) -> None:
-        """Write rows (all columns, and ``_op`` for kind "U") as a batch; nothing sees it before a manifest names it."""
+        """Write rows (all columns, and ``_op`` for kind "U") as a batch; nothing sees it before a manifest names it.
+
+        Row groups carry a Bloom filter of the primary key, which point reads skip by.
+        """
         path = f"{table.name}/{seq:020d}-{uuid.uuid4().hex}"
         if kind == "A":
             rows = rows.withColumn("_op", F.lit("P"))
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema]
-        rows.select(*columns, "_op", F.lit(seq).cast("long").alias("_seq")).write.parquet(f"{self.root}/{path}")
+        rows.select(*columns, "_op", F.lit(seq).cast("long").alias("_seq")).write.option(f"parquet.bloom.filter.enabled#{table.primary_key}", "true").parquet(f"{self.root}/{path}")
         table.batches.append([kind, seq, path])
 
     def read_log(self, table: TableDef, kinds: str = "AU") -> DataFrame | None:
@@ -129,6 +132,23 @@ class Store:
         self.write_batch(t, rows, "A", seq)
         return self.publish(tables, since, {name})
 
+    def compact_if(self, name: str, runs: int = 16) -> int | None:
+        """Compact a table that has more than so many batches; None if it has not."""
+        return self.compact(name) if len(self.tables()[name].batches) > runs else None
+
+    def problems(self, name: str) -> DataFrame:
+        """(key, problem) of what a sound table does not have: live keys that are null or occur twice, and changes of kind "U" to a key before its first insert."""
+        t = self.tables()[name]
+        key = F.col(t.primary_key)
+        view = self.view(t)
+        out = view.filter(key.isNull()).select(F.lit(None).cast("string").alias("key"), F.lit("null key").alias("problem"))
+        out = out.unionByName(view.groupBy(key.cast("string").alias("key")).count().filter("key IS NOT NULL AND count > 1").select("key", F.lit("duplicate key").alias("problem")))
+        log = self.read_log(t)
+        if log is not None and any(k == "A" for k, _, _ in t.batches):
+            first = log.groupBy(key.cast("string").alias("key")).agg(F.min_by("_op", "_seq").alias("op"))
+            out = out.unionByName(first.filter("op = 'D'").select("key", F.lit("deleted before inserted").alias("problem")))
+        return out
+
     def drop_data(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
 

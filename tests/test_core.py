@@ -118,6 +118,11 @@ def test_compaction_keeps_rows_and_old_versions(s, spark, tmp_path):
     s.run("INSERT INTO t VALUES (2, 'new')")
     assert rows(s.run("SELECT * FROM t")) == [(1, "a"), (2, "new"), (3, "z")]
     assert sorted(map(tuple, store.scan_all().collect())) == [("t", "1"), ("t", "2"), ("t", "3")]
+    assert store.problems("t").count() == 0 and store.compact_if("t") is None and store.compact_if("t", runs=1)
+    t = store.tables()["t"]
+    store.write_batch(t, spark.createDataFrame([(1, "twice")], "id long, v string"), "A", 9)
+    store.publish({"t": t}, store.version(), {"t"})
+    assert [tuple(r) for r in store.problems("t").collect()] == [("1", "duplicate key")]
 
 
 def test_show_set_and_literals(s):
@@ -231,6 +236,7 @@ def test_json_transactions(spark, tmp_path):
 def test_words(spark):
     assert lexer.split_statements("a ';' ; b (;) ;;") == ["a ';'", "b (;)"]
     assert lexer.table_names("SELECT t.name FROM tests t, users AS u WHERE t.id = u.id;") == ["tests", "users"]
+    assert lexer.plan_tables(spark, "SELECT * FROM Tests t JOIN (SELECT 1 FROM users) u") == ["tests", "users"]
     assert lexer.table_names("CREATE INDEX email_idx ON users (email)") == ["users"]
     assert lexer.table_names("INSERT INTO `Log` VALUES (1)") == ["log"] and lexer.table_names("DROP TABLE IF EXISTS x") == ["x"]
     assert identifier(' "Ab" ') == "ab" and spark_type("varchar(3)").simpleString() == "string" and spark_type("float8").simpleString() == "double"
