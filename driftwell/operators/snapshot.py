@@ -60,3 +60,17 @@ def whole_database(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 def compact(log: DataFrame, keys: list[str], order: list[str], op: str = "op", full: bool = True) -> DataFrame:
     """One version of each key; tombstones go only in a full compaction, as partial ones may still hide older versions."""
     return live(log, keys, order, op) if full else newest(log, keys, order)
+
+
+def ranked(view: DataFrame, bucket: Column, order: list[Column], name: str) -> DataFrame:
+    """``view`` with each row's place in ``order``, from 1.
+
+    ``bucket`` must rise with the order and split the rows into groups that a task can sort:
+    a row's place is the rows of smaller buckets and its place in its own, so no task sees
+    the whole table, only the sizes of its buckets.
+    """
+    rows = view.withColumn("_b", bucket)
+    before = F.sum("n").over(Window.orderBy("_b")) - F.col("n")
+    sizes = rows.groupBy("_b").agg(F.count("*").alias("n")).select("_b", before.alias("_before"))
+    inner = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
+    return rows.join(sizes, "_b").withColumn(name, F.col("_before") + inner).drop("_b", "_before")
