@@ -8,11 +8,9 @@ component of near duplicates; its id is the smallest doc_id in it.
 Equal word sequences are put together first, so copies cost one signature's work. The
 others meet in the buckets of ``BANDS`` bands; nothing lists the pairs of a bucket:
 
-1. each document is compared with one bucket leader (the smallest id), which settles the
-   buckets whose members are all copies of one original;
-2. documents that are still apart from the leader of one of their buckets are compared
-   with that leader;
-3. the members of buckets that still hold several components are joined exactly. By the
+1. each document is compared with the leader (the smallest id) of each of its buckets, 36
+   comparisons at most;
+2. the members of buckets that still hold several components are joined exactly. By the
    prefix filter, similar documents share one of the rarest fifth of their shingles, so only
    documents that such shingles connect can be similar; each set of these (a family) is cut into
    blocks of ``BLOCK`` shingles, and a task counts what the documents of two blocks share.
@@ -39,6 +37,7 @@ from ._stage import release, staged
 
 WORDS, BANDS, ROWS = 5, 36, 7
 BLOCK = 1_500_000
+POINTS = 30_000  # of all processes that a step of the signatures takes, where few are left
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -103,8 +102,9 @@ def bag_minhash(text: np.ndarray, shingle: np.ndarray, count: np.ndarray, texts:
     has a Poisson process of its own, with the level's width as rate; a point has a time, a
     register and a place in the level. A level that reaches beyond the weight is thinned:
     its points count where their place lies below. A register holds the earliest time. All
-    processes advance by a point at a time, and one stops once it is later than every
-    register of its text.
+    processes advance by a point at a time (by more where few are left), and one stops once
+    it is later than every register of its text. Times are multiples of 2^-30, so their sums
+    are exact and equal points give equal registers on any machine.
     """
     sig = np.full(texts * m, np.inf)
     doc, seed, rate, low, limit = [text], [shingle ^ _A], [np.ones(len(text))], [np.zeros(len(text), np.int64)], [count]
@@ -117,19 +117,25 @@ def bag_minhash(text: np.ndarray, shingle: np.ndarray, count: np.ndarray, texts:
         limit.append(count[own])
         level *= 2
     doc, seed, rate, low, limit = (np.concatenate(x) for x in (doc, seed, rate, low, limit))
-    time, step = np.zeros(len(doc)), np.uint64(0)
-    with np.errstate(over="ignore"):
-        while len(doc):
-            step += np.uint64(1)
-            h = _mix(seed + step * _A)
-            time = time - np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate
-            h = _mix(h + _C)
-            register = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-            place = low + (h & np.uint64(0xFFFFFFFF)).astype(np.int64) % np.maximum(low, 1)
-            hit = place < limit
-            np.minimum.at(sig, (doc * m + register.astype(np.int64))[hit], time[hit])
-            on = time < sig.reshape(texts, m).max(1)[doc]
-            doc, seed, rate, low, limit, time = doc[on], seed[on], rate[on], low[on], limit[on], time[on]
+    time, step = np.zeros(len(doc)), 1
+    while len(doc):
+        ahead = int(np.clip(POINTS // len(doc), 1, 64))  # points beyond the last register's time do no harm
+        h = _mix(seed[:, None] + np.arange(step, step + ahead, dtype=np.uint64) * _A)
+        gap = np.rint(np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) * -(2.0**30)) * 2.0**-30
+        gap /= rate[:, None]
+        gap[:, 0] += time
+        at = np.cumsum(gap, axis=1)
+        h = _mix(h + _C)
+        register = (((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
+        if low.any():
+            place = low[:, None] + (h & np.uint64(0xFFFFFFFF)).astype(np.int64) % np.maximum(low, 1)[:, None]
+            hit = place < limit[:, None]
+            np.minimum.at(sig, (doc[:, None] * m + register)[hit], at[hit])
+        else:
+            np.minimum.at(sig, (doc[:, None] * m + register).ravel(), at.ravel())
+        open_, number = np.unique(doc, return_inverse=True)
+        on = at[:, -1] < sig.reshape(texts, m)[open_].max(1)[number]
+        doc, seed, rate, low, limit, time, step = doc[on], seed[on], rate[on], low[on], limit[on], at[on, -1], step + ahead
     return sig.reshape(texts, m)
 
 
@@ -334,20 +340,9 @@ def link(texts: DataFrame, bands: DataFrame) -> DataFrame | None:
     if buckets.isEmpty():
         return None
     texts = staged(texts.join(buckets.select("doc").distinct(), "doc", "left_semi"), "texts")
-    shared = buckets.filter("doc <> lead").groupBy("doc", "lead").count()
-    best = shared.groupBy("doc").agg(F.max(F.struct("count", -F.col("lead"))).alias("b")).select("doc", (-F.col("b.col2")).alias("lead"))
-    edges = staged(verified(best, texts), "edges")
+    pairs = buckets.filter("doc <> lead").select("doc", "lead").distinct()
+    edges = staged(verified(pairs, texts), "edges")
     label = None if edges.isEmpty() else staged(components(edges), "comps")
-
-    def more(pairs: DataFrame) -> None:
-        nonlocal edges, label
-        new = staged(verified(pairs, texts), "edges")
-        if not new.isEmpty():
-            edges = staged(edges.union(new), "edges")
-            label = staged(components(edges), "comps")
-
-    apart = _with_comp(_with_comp(shared, label, "doc", "c"), label, "lead", "d").filter("c <> d").select("doc", "lead")
-    more(staged(apart.join(best, ["doc", "lead"], "left_anti"), "pairs"))
     with_comp = _with_comp(buckets, label, "doc", "comp")
     mixed = with_comp.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2")
     open_docs = staged(with_comp.join(mixed.select("bucket"), "bucket", "left_semi").select("doc", "comp").distinct(), "open")
@@ -358,6 +353,8 @@ def link(texts: DataFrame, bands: DataFrame) -> DataFrame | None:
             new = staged(_family_links(sets, families), "edges")
             if not new.isEmpty():
                 label = staged(components(edges.union(new)), "comps")
+        release(sets)
+    release(buckets, texts, open_docs)
     return label
 
 
@@ -373,6 +370,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     s = staged(s, "sketches")
     nth = F.row_number().over(Window.partitionBy("digest", "salt", "doc_id").orderBy(F.lit(1)))
     own = staged(s.join(exact_dedup.classes(s.select("doc_id", "digest", "salt")), ["digest", "salt"]).select("doc_id", F.col("keep_id").alias("doc"), (nth == 1).alias("once"), "bands"), "copies")
+    release(s)
     one = own.filter("doc_id = doc and once")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").dropna(subset=["doc"])
     label = link(_single(texts), one.select("doc", "bands"))
