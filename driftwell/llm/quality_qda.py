@@ -2,10 +2,10 @@
 
 Every text becomes a vector of document statistics (shares of kinds of characters, words,
 lines and repeats), each transformed to be nearer to a normal distribution. Each label has
-a mean and a covariance, shrunk towards the covariance of all rows and towards a multiple of the
-identity; how much is chosen on a part of the sample held back. A score is the difference of the two
-Mahalanobis log-densities, from Cholesky factors computed once, brought to a probability by a
-logistic curve fitted on the part held back.
+a mean and a covariance, shrunk towards the labels' pooled covariance and towards a multiple of the
+identity; how much is chosen on parts of the sample held back in turn. A score is the difference of
+the two Mahalanobis log-densities, from Cholesky factors computed once, brought to a
+probability by a logistic curve fitted on the parts held back.
 
 Labels are learnt from at most ``SAMPLE`` labelled rows (those with the smallest hashes of
 doc_id); statistics are computed for all rows.
@@ -23,9 +23,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._stage import staged
+from ._stage import hashed_sample
 
-SAMPLE, THRESHOLD = 40_000, 0.3
+SAMPLE, FOLDS, THRESHOLD = 40_000, 4, 0.3
 _KINDS = ["lower", "upper", "digit", "space", "newline", "stop", "shout", "bar", "bracket", "symbol", "high"]
 
 
@@ -109,7 +109,7 @@ def _shrunk(x: np.ndarray, y: np.ndarray, to_all: float, to_one: float) -> Qda:
     z = (x - mid) / scale
     d = z.shape[1]
     parts = [z[y == k] for k in (0, 1)]
-    every = np.cov(z.T, bias=True) + 1e-9 * np.eye(d)
+    every = sum(len(p) * np.atleast_2d(np.cov(p.T, bias=True)) for p in parts if len(p) > 1) / len(z) + 1e-9 * np.eye(d)
     means, factors, logs = [], [], []
     for p in parts:
         own = np.cov(p.T, bias=True) if len(p) > 1 else every
@@ -135,23 +135,24 @@ def _curve(t: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> Qda:
-    """The shrinkage with the least log-loss on every fourth row, refitted on all rows. One label alone gives a constant."""
+    """The shrinkage and the curve with the least log-loss on parts held back in turn, refitted on all rows. One label alone gives a constant."""
     if len(np.unique(y)) < 2:
         q = _shrunk(np.vstack([x, np.zeros((1, len(NAMES)))]), np.append(y, 1), 1.0, 0.5)
         q.a, q.b = 1e-6, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
         return q
-    back = np.arange(len(y)) % 4 == 0
-    if min(y[back].sum(), (~y[back].astype(bool)).sum()) < 2 or len(np.unique(y[~back])) < 2:
-        back = np.ones(len(y), bool)
-    learn = ~back if not back.all() else back
+    fold = np.empty(len(y), np.int64)
+    for k in (0, 1):  # each label is dealt evenly
+        own = np.flatnonzero(y == k)
+        fold[own] = np.arange(len(own)) % FOLDS
     best, least = None, np.inf
     for to_all in (0.02, 0.1, 0.3, 0.6):
         for to_one in (0.01, 0.05, 0.2):
-            q = _shrunk(x[learn], y[learn], to_all, to_one)
-            t = q.difference(x[back])
-            a, b = _curve(t, y[back])
+            t = np.empty(len(y))
+            for f in range(FOLDS):
+                t[fold == f] = _shrunk(x[fold != f], y[fold != f], to_all, to_one).difference(x[fold == f])
+            a, b = _curve(t, y)
             p = np.clip(_sigmoid(a * t + b), 1e-9, 1 - 1e-9)
-            loss = -(y[back] * np.log(p) + (1 - y[back]) * np.log(1 - p)).mean()
+            loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
             if loss < least:
                 best, least = (to_all, to_one, a, b), loss
     q = _shrunk(x, y, *best[:2])
@@ -164,60 +165,63 @@ def remainder(doc_id: Column, k: int) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> doc_id and the statistics, written once."""
+    """(doc_id, text) -> doc_id and the statistics."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = statistics(b.column("text"))
             at = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(at, pa.array(x.ravel().astype(np.float32)))], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(at, pa.array(x.ravel()))], ["doc_id", "x"])
 
-    return staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x array<float>"), "statistics")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x array<double>")
 
 
-def train(rows: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Qda | None:
-    """Fit on at most ``sample`` of the labelled rows for which ``learn`` holds; None without any. Rows that repeat an id count once."""
+def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Qda | None:
+    """Fit on at most ``sample`` labelled documents for which ``learn`` holds; None without any.
+
+    The sample's ids and labels, which the bound makes small, are broadcast to the scan.
+    Labels that repeat an id count once, documents that repeat it each.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & learn)
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
-    got = rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("x", "y").toPandas()
-    return fit(np.stack(got["x"]).astype(np.float64), got["y"].to_numpy()) if len(got) else None
-
-
-def score(rows: DataFrame, model: Qda | None) -> DataFrame:
-    """doc_id, score of every row of statistics; 0.5 without a model."""
-    held = rows.sparkSession.sparkContext.broadcast(model)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            s = held.value.score(np.stack(f["x"]).astype(np.float64)) if len(f) and held.value else np.full(len(f), 0.5)
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "score": s})
-
-    return rows.mapInPandas(run, "doc_id long, score double")
+    known = hashed_sample(known, "doc_id", sample, known.count())
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    got = features(own.select("doc_id", "text")).join(F.broadcast(known), "doc_id").limit(2 * sample).toPandas()
+    if got.empty:
+        return None
+    x = np.stack(got["x"])
+    order = np.lexsort((*x.T, got["doc_id"].to_numpy()))[:sample]
+    order = order[np.random.default_rng(3).permutation(len(order))]
+    return fit(x[order], got["y"].to_numpy()[order])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): doc_id, held_out, score, predicted.
 
     Null and empty texts are scored by the statistics of no characters. A null doc_id is
-    not held out and never learnt from. An empty table gives an empty result; other
-    columns are not read.
+    not held out and never learnt from; without labels every score is 0.5. An empty table
+    gives an empty result; other columns are not read.
     """
-    rows = features(docs)
-    out = score(rows, train(rows, labels, remainder(F.col("doc_id"), 5) != 0))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, remainder(F.col("doc_id"), 5) != 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = model.value.score(statistics(b.column("text"))) if model.value else np.full(b.num_rows, 0.5)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], ["doc_id", "score"])
+
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     held = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are predicted good, with all their columns; the same text always fares alike."""
-    rows = features(docs)
-    held = docs.sparkSession.sparkContext.broadcast(train(rows, labels, remainder(F.col("doc_id"), 5) != 0))
+    """The rows of ``docs`` that are predicted good, with all their columns; the same text always fares alike. Without labels all stay."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, remainder(F.col("doc_id"), 5) != 0))
 
     @F.pandas_udf("boolean")
     def good(text: pd.Series) -> pd.Series:
-        if held.value is None:
-            return pd.Series(np.ones(len(text), bool))
-        return pd.Series(held.value.score(statistics(pa.array(text, pa.string())).astype(np.float32).astype(np.float64)) >= THRESHOLD)
+        s = model.value.score(statistics(pa.array(text, pa.string()))) if model.value else np.ones(len(text))
+        return pd.Series(s >= THRESHOLD)
 
     return docs.filter(good("text"))
 
