@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._stage import staged
+from ._stage import hashed_sample, staged
 
 SAMPLE, PROBES, TARGET, BLOCK = 20_000, 64, 0.97, 4_096
 FOUND = "query_id long, vec_id long, score double"
@@ -124,7 +124,7 @@ def _nearest(ids: np.ndarray, v: np.ndarray, query: int, q: np.ndarray, k: int)
 def build(rows: DataFrame, sample: int = SAMPLE) -> tuple[KMeansTree | None, DataFrame]:
     """The tree and the index: vec_id, v, leaf for every usable row. No tree if there are none."""
     v = usable(rows)
-    got = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
+    got = hashed_sample(v, "vec_id", sample, v.count()).toPandas()
     if got.empty:
         return None, v.withColumn("leaf", F.lit(0))
     tree = KMeansTree(np.stack(got["v"]))
@@ -140,7 +140,7 @@ def build(rows: DataFrame, sample: int = SAMPLE) -> tuple[KMeansTree | None, Dat
 
 def calibrate(tree: KMeansTree, index: DataFrame, queries: DataFrame, k: int, target: float = TARGET, probes: int = PROBES) -> int:
     """The least number of leaves that hold ``target`` of the true neighbours of ``probes`` queries; those are found by brute force."""
-    some = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(probes).toPandas()
+    some = hashed_sample(queries, "vec_id", probes, queries.count()).toPandas()
     if some.empty:
         return 1
     held = index.sparkSession.sparkContext.broadcast((some["vec_id"].to_numpy(), np.stack(some["v"])))

@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._stage import hashed_sample
 from .quality_qda import _sigmoid, remainder
 
 WINDOW, STRIDE, SAMPLE, PER_DOC, THRESHOLD = 24, 12, 2_000, 12, 0.7
@@ -275,9 +276,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     rates = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     total = sum(rates.values())
-    ids = [known.filter(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
+    ids = [hashed_sample(known.filter(F.col("y") == k), "doc_id", sample, rates.get(k, 0)) for k in (0, 1)]
     got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids[0].union(ids[1])), "doc_id")
-    got = got.orderBy("doc_id", F.xxhash64("text")).limit(2 * sample).toPandas()
+    got = got.limit(4 * sample).toPandas().sort_values(["doc_id", "text"], ignore_index=True)[: 2 * sample]
+    got = got.sample(frac=1, random_state=3, ignore_index=True)
     if got["y"].nunique() < 2 or len(got) < 8:
         return Model(None, 1.0, float(np.log((rates.get(1, 0) + 1) / (rates.get(0, 0) + 1))))
     y, texts = got["y"].to_numpy(), [t or "" for t in got["text"]]
