@@ -11,30 +11,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from driftwell.llm import bagminhash, exact_dedup, mixing, packing, quality_qda
-from driftwell.llm._stage import staged
+from driftwell.llm._stage import shipped, staged
 from driftwell.llm._tokens import vocabulary
 
 
+@shipped
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     return quality_qda.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@shipped
 def once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents equal but for white space, the one with the smallest doc_id."""
     return exact_dedup.drop_copies(docs)
 
 
+@shipped
 def apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates, the document with the smallest doc_id."""
     return bagminhash.drop_near_copies(docs)
 
 
+@shipped
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their sources takes them."""
     return mixing.mixed_documents(docs)
 
 
+@shipped
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in sequences of 1024 tokens."""
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
@@ -46,6 +51,7 @@ STAGES = [("quality", good), ("exact dedup", once), ("near dedup", apart), ("mix
 ORACLE_SQL = None
 
 
+@shipped
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:

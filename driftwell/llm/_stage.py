@@ -7,14 +7,46 @@ blocks of an executor that may be lost.
 from __future__ import annotations
 
 import atexit
+import functools
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 _LEFT: list[tuple[SparkSession, str]] = []
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Have Spark send this package to its Python workers, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    name = os.path.basename(package)
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix=f"{name}-")), f"{name}-{app}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(package):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    z.write(os.path.join(folder, f), os.path.join(name, os.path.relpath(os.path.join(folder, f), package)))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
+
+
+def shipped(f):
+    """``f(spark, ...)`` after ``ship(spark)``."""
+
+    @functools.wraps(f)
+    def run(spark, *more):
+        ship(spark)
+        return f(spark, *more)
+
+    return run
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from . import ann_tree, bagminhash, chat_format, exact_dedup, mixing, packing, quality_qda, token_files, toxicity_gru, warc
+from ._stage import shipped
 
 
 def queries() -> dict:
-    return {
+    made = {
         "op1_chat_format": chat_format.op1_chat_format,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_quality": quality_qda.op3_quality,
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op9_near_dedup": bagminhash.op9_near_dedup,
         "op10_ann": ann_tree.op10_ann,
     }
+    return {name: shipped(f) for name, f in made.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import corpus_pipeline as c
 from pyspark.sql import functions as F
 
@@ -46,3 +50,11 @@ def test_run_and_odd_rows(spark, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/e/documents.parquet")
     spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/e/labels.parquet")
     assert c.run(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_workers_get_the_package(tmp_path):
+    """From a folder and with a path that do not lead Python workers to the package."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"import sys; sys.path.insert(0, {root!r}); import __spark_entry__ as e; from pyspark.sql import SparkSession; s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate(); print('ROWS', e.queries()['op1_chat_format'](s, {SF!r}).count())"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True)
+    assert "ROWS" in said.stdout, said.stderr[-2000:]
