@@ -141,19 +141,28 @@ def mix(draws: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> D
     return p.select("shard", "position", "rid", "doc_id", "epoch", "first_word", "n_words")
 
 
+def placed(pieces: DataFrame, *by: str) -> DataFrame:
+    """``mix``'s pieces -> a row for each ``by``: its words taken, and shard and position of its first piece there."""
+    # one number, as structs don't go into hash aggregates
+    place = F.shiftleft(F.col("shard").cast("long"), 40) + F.col("position")
+    out = pieces.groupBy(*by).agg(F.sum("n_words").alias("taken"), F.min(place).alias("place"))
+    return out.select(*by, "taken", F.shiftright("place", 40).cast("int").alias("shard"), F.col("place").bitwiseAND((1 << 40) - 1).alias("position"))
+
+
 def mixed_sizes(docs: DataFrame) -> DataFrame:
-    """A row for each row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, taken.
+    """A row for each row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, taken, shard, position.
 
+    Shard and position are the place of the first of its pieces in the mix; null if none is taken.
     Null texts have size 0 and are never taken; a null source is a source of its own, the
     last; rows that repeat a doc_id are documents of their own. An empty table gives an
     empty result. Other columns are not read.
     """
     rows = sized(docs)
     s, draws = draw(rows)
-    taken = mix(draws).groupBy("rid").agg(F.sum("n_words").alias("taken"))
+    taken = placed(mix(draws), "rid")
     known = F.broadcast(s) if s.count() <= BROADCAST_SOURCES else s
     out = rows.join(known, rows["source"].eqNullSafe(known["source"])).join(taken, "rid", "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "shard", "position")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -161,10 +170,13 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     At most one document of each source is taken in part; its text ends after the last
     word taken, and n_chars follows. Rows that repeat both doc_id and text count once.
+    Rows lie by shard and shuffled place; a document goes whole to where its first piece is.
     """
     rows = sized(docs)
     _, draws = draw(rows)
-    draws = staged(draws.select(F.col("doc_id").alias("_dw_id"), F.col("text_key").alias("_dw_key"), "epoch", "taken").join(rows.groupBy(F.col("doc_id").alias("_dw_i"), F.col("text_key").alias("_dw_k")).agg(F.max("size").alias("_dw_size")), F.col("_dw_id").eqNullSafe(F.col("_dw_i")) & (F.col("_dw_key") == F.col("_dw_k"))).select("_dw_id", "_dw_key", F.col("epoch").alias("_dw_epoch"), F.col("taken").alias("_dw_taken"), "_dw_size"), "draws")
+    known = rows.select("rid", F.col("doc_id").alias("_dw_id"), F.col("text_key").alias("_dw_key"), F.col("size").alias("_dw_size"))
+    places = placed(mix(draws), "rid", "epoch").join(known, "rid")
+    draws = staged(places.select("_dw_id", "_dw_key", F.col("epoch").alias("_dw_epoch"), F.col("taken").alias("_dw_taken"), "_dw_size", F.col("shard").alias("_dw_shard"), F.col("position").alias("_dw_position")), "draws")
     d = docs.withColumn("_dw_k", F.xxhash64("text"))
     if not rows.groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty():
         d, draws = d.dropDuplicates(["doc_id", "_dw_k"]), draws.dropDuplicates(["_dw_id", "_dw_key", "_dw_epoch"])
@@ -175,7 +187,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     columns = {"text": F.when(cut, part).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.when(cut, F.length(part)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return d.withColumns(columns).select(*docs.columns)
+    place = ["_dw_shard", "_dw_position"]
+    return d.withColumns(columns).repartitionByRange(*place).sortWithinPartitions(*place).select(*docs.columns)
 
 
 def op4_mix(spark, sf_dir: str) -> DataFrame:

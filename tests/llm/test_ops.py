@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import zlib
 
@@ -259,6 +260,23 @@ def test_shards_are_exact_and_disjoint(spark):
     assert max(total) - min(total) <= 1
 
 
+def test_jobs_lay_out_what_the_tree_deals(spark, tmp_path):
+    rows = [(i, f"w{i} " + "w " * (7 * i % 600), f"s{i % 3}") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    pieces = mixing.mix(mixing.draw(mixing.sized(docs))[1]).collect()
+    first, by_epoch = {}, {}
+    for p in pieces:
+        place = (p["shard"], p["position"])
+        first[p["doc_id"]] = min(place, first.get(p["doc_id"], place))
+        by_epoch[p["doc_id"], p["epoch"]] = min(place, by_epoch.get((p["doc_id"], p["epoch"]), place))
+    sizes = mixing.mixed_sizes(docs)
+    assert {r["doc_id"]: (r["shard"], r["position"]) for r in sizes.collect()} == {i: first.get(i, (None, None)) for i, _, _ in rows}
+    mixing.mixed_documents(docs).write.parquet(f"{tmp_path}/mixed")
+    files = sorted(f for f in os.listdir(f"{tmp_path}/mixed") if f.endswith(".parquet"))
+    laid = [i for f in files for i in pq.read_table(f"{tmp_path}/mixed/{f}")["doc_id"].to_pylist()]
+    assert len({s for s, _ in first.values()}) == 8 and laid == [i for _, i in sorted((place, i) for (i, _), place in by_epoch.items())]
+
+
 def test_hypergeometric_draws(spark):
     rows = spark.range(20_000).select(F.expr("(id + 0.5D) / 20000").alias("u"), F.lit(30).cast("long").alias("g"), F.lit(70).cast("long").alias("r"), F.lit(20).cast("long").alias("n"))
     x = np.array([r[0] for r in rows.select(F.expr(mixing._hypergeometric("g", "r", "n", "u"))).collect()])
