@@ -7,6 +7,7 @@ commits it, error aborts it, anything else leaves it in flight.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -298,6 +299,20 @@ def q35_wait_for_cycle(spark, d):
     return graph.in_cycles(_edges(spark, d), longest=3)
 
 
+@query(f"""
+WITH RECURSIVE {LOG}, p AS (SELECT k AS w, lag(k) OVER (PARTITION BY txn ORDER BY lsn) AS h FROM l WHERE ty = 'error'),
+e AS (SELECT DISTINCT w, h FROM p WHERE h IS NOT NULL),
+r AS (SELECT w, h FROM e UNION SELECT r.w, e.h FROM r JOIN e ON r.h = e.w)
+SELECT w AS node FROM r WHERE w = h
+""")
+def q35b_wait_for_any_cycle(spark, d):
+    if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="driftwell-"))
+    return graph.in_cycles(_edges(spark, d))
+
+
 @query(f"WITH {LOG} SELECT lsn, k, last_value(CASE WHEN ty = 'purchase' THEN v END IGNORE NULLS) OVER (PARTITION BY k ORDER BY lsn ROWS UNBOUNDED PRECEDING) AS seen FROM l")
 def q36_read_your_writes(spark, d):
     return recovery.read_own_writes(log(spark, d), seq="lsn", write=F.col("ty") == "purchase").select("lsn", "k", "seen")

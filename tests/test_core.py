@@ -7,6 +7,7 @@ from driftwell.functions import scalars
 from driftwell.functions.types import identifier, spark_type
 from driftwell.operators import dml, graph, indexes, latency, recovery, replication, snapshot
 from driftwell.plans import lexer
+from driftwell.plans import queries as core
 from driftwell.plans.session import Session, StatementError
 from driftwell.sources import oplog
 from driftwell.sources.catalog import CatalogError
@@ -194,6 +195,42 @@ def test_cycles(spark, tmp_path):
     assert sorted(r["node"] for r in graph.in_cycles(e, longest=2).collect()) == [6]
 
 
+def test_cycles_of_any_length(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(f"file://{tmp_path}")
+    rng = random.Random(2)
+    pairs = {(i, (i + 1) % 9) for i in range(9)} | {(9, 0), (10, 10), (3, 11)} | {(rng.randrange(20, 60), rng.randrange(20, 60)) for _ in range(45)}
+    reach = set(pairs)
+    while more := {(a, d) for a, b in reach for c, d in pairs if b == c} - reach:
+        reach |= more
+    e = spark.createDataFrame(sorted(pairs), "waiter long, holder long")
+    assert sorted(r["node"] for r in graph.in_cycles(e).collect()) == sorted(a for a, b in reach if a == b)
+
+
+def test_registered_cycles_have_no_bound(spark):
+    """The edges of sf0.01, rebuilt and searched in plain Python."""
+    d, last, edges = "/root/testdata/sf0.01", {}, {}
+    for r in spark.read.parquet(f"{d}/events.parquet").filter("event_type = 'error'").orderBy("event_id").collect():
+        txn = r["event_id"] // 20
+        if txn in last:
+            edges.setdefault(r["user_id"], set()).add(last[txn])
+        last[txn] = r["user_id"]
+
+    def reaches_itself(start):
+        seen, todo = set(), [start]
+        while todo:
+            for x in edges.get(todo.pop(), ()):
+                if x == start:
+                    return True
+                if x not in seen:
+                    seen.add(x)
+                    todo.append(x)
+        return False
+
+    want = sorted(n for n in edges if reaches_itself(n))
+    got = sorted(r["node"] for r in core.queries()["q35b_wait_for_any_cycle"](spark, d).collect())
+    assert got == want and len(got) > core.queries()["q35_wait_for_cycle"](spark, d).count()
+
+
 def test_floor_rank_and_summary(spark):
     df = spark.range(128).select(F.lit("g").alias("g"), F.col("id").cast("double").alias("v"))
     assert df.agg(scalars.floor_rank(F.col("v"), 0.95)).first()[0] == 120
