@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import exact_dedup
@@ -364,19 +364,52 @@ def near_classes(docs: DataFrame) -> DataFrame:
     A null text counts as empty; documents without words are one class. A null doc_id
     belongs to the class of equal words and has no near duplicates of its own; it has a
     null class if all ids there are null. The document whose id is the class's stays; of
-    rows that repeat that id, one. An empty table gives an empty result; other columns are not read.
+    rows that repeat that id in the class, one. Rows that share an id but not their words
+    are classed by their own words. An empty table gives an empty result; other columns are not read.
     """
+    return _classified(docs).select("doc_id", "class_id", "class_size", "kept")
+
+
+def word_digest(text: Column) -> Column:
+    """``sketch``'s digest of the word sequence."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        b = pa.record_batch([pa.array(texts, pa.string(), from_pandas=True)], ["text"])
+        return pd.Series([d for part in _parts(b) for d in shingles(part.column("text"))[2]], dtype=object)
+
+    return F.pandas_udf(run, "binary")(text)
+
+
+def _classified(docs: DataFrame) -> DataFrame:
+    """``near_classes`` with the digest of each row's words."""
     s = sketch(docs).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(exact_dedup.SALTS)).cast("int"))
     s = staged(s, "sketches")
     nth = F.row_number().over(Window.partitionBy("digest", "salt", "doc_id").orderBy(F.lit(1)))
-    own = staged(s.join(exact_dedup.classes(s.select("doc_id", "digest", "salt")), ["digest", "salt"]).select("doc_id", F.col("keep_id").alias("doc"), (nth == 1).alias("once"), "bands"), "copies")
+    own = staged(s.join(exact_dedup.classes(s.select("doc_id", "digest", "salt")), ["digest", "salt"]).select("doc_id", "digest", F.col("keep_id").alias("doc"), (nth == 1).alias("once"), "bands"), "copies")
     release(s)
-    one = own.filter("doc_id = doc and once")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").dropna(subset=["doc"])
+    if not own.select("doc_id", "digest").distinct().groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return _classified_apart(own, texts)
+    one = own.filter("doc_id = doc and once")
     label = link(_single(texts), one.select("doc", "bands"))
-    out = _with_comp(own.select("doc_id", "doc", "once"), label, "doc", "class_id")
+    out = _with_comp(own.select("doc_id", "digest", "doc", "once"), label, "doc", "class_id")
     sizes = out.groupBy("doc").agg(F.count("*").alias("n"), F.min("class_id").alias("class_id")).groupBy("class_id").agg(F.sum("n").alias("class_size"))
-    return out.join(sizes.withColumnRenamed("class_id", "_id"), F.col("class_id").eqNullSafe(F.col("_id"))).select("doc_id", "class_id", "class_size", (F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("once")).alias("kept"))
+    return out.join(sizes.withColumnRenamed("class_id", "_id"), F.col("class_id").eqNullSafe(F.col("_id"))).select("doc_id", "digest", "class_id", "class_size", (F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("once")).alias("kept"))
+
+
+def _classified_apart(own: DataFrame, texts: DataFrame) -> DataFrame:
+    """The same where an id (or null) has rows of different words: each word sequence is a node with a number of its own."""
+    nodes = staged(own.filter("doc_id <=> doc and once").select("digest", "doc", "bands").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    known = nodes.dropna(subset=["doc"])
+    said = texts.withColumn("digest", word_digest(F.col("text"))).join(known.select("doc", "digest", "node"), ["doc", "digest"])
+    said = said.select(F.col("node").alias("doc"), "text").dropDuplicates(["doc"])
+    label = link(said, known.select(F.col("node").alias("doc"), "bands"))
+    sizes = own.groupBy("digest").agg(F.count("*").alias("n"))
+    members = staged(_with_comp(nodes.select("digest", "doc", "node"), label, "node", "comp").join(sizes, "digest"), "members")
+    heads = members.groupBy("comp").agg(F.min(F.struct("doc", "node")).alias("head"), F.sum("n").alias("class_size"))
+    named = members.join(heads, "comp").select("digest", F.col("head.doc").alias("class_id"), "class_size", (F.col("node") == F.col("head.node")).alias("first"))
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("once") & F.col("first")
+    return own.join(named, "digest").select("doc_id", "digest", "class_id", "class_size", kept.alias("kept"))
 
 
 def _single(texts: DataFrame) -> DataFrame:
@@ -388,11 +421,12 @@ def _single(texts: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``near_classes`` keeps, with all their columns."""
-    keep = staged(near_classes(docs).filter("kept").select(F.col("doc_id").alias("_dw_id")), "kept")
-    out = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["_dw_id"]), "left_semi")
+    keep = staged(_classified(docs).filter("kept").select(F.col("doc_id").alias("_dw_id"), F.col("digest").alias("_dw_digest")), "kept")
     if exact_dedup.keep_repeats(docs).isEmpty():
-        return out.select(*docs.columns)
-    return out.dropDuplicates(["doc_id"]).select(*docs.columns)
+        return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["_dw_id"]), "left_semi").select(*docs.columns)
+    same = docs.withColumn("_dw_d", word_digest(docs["text"]))
+    out = same.join(keep, same["doc_id"].cast("long").eqNullSafe(keep["_dw_id"]) & (same["_dw_d"] == keep["_dw_digest"]), "left_semi")
+    return out.dropDuplicates(["doc_id", "_dw_d"]).select(*docs.columns)
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:

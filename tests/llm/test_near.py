@@ -97,6 +97,19 @@ def test_nulls_repeats_and_empty(spark):
     assert [tuple(r) for r in kept.collect()] == [(4, "a b c d e f", 1)]
 
 
+def test_rows_are_known_by_id_and_words(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, "first null"), (None, "second null"), (None, "third  null"), (None, "a b c d e f"), (3, "a b c d e f"), (5, "x y z"), (5, "p q r s t u v"), (5, "x  y z"), (6, "p q r s t u v"), (8, long), (8, long + " more"), (2, "zz " + long), (2, "other words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = b.near_classes(docs).collect()
+    assert sorted((r["doc_id"] or -1, r["class_id"] or -1, r["class_size"], r["kept"]) for r in got) == [
+        *[(-1, -1, 1, True)] * 3, (-1, 3, 2, False), (2, 2, 1, True), (2, 2, 3, True), (3, 3, 2, True),
+        (5, 5, 2, False), (5, 5, 2, True), (5, 5, 2, True), (6, 5, 2, False), (8, 2, 3, False), (8, 2, 3, False),
+    ]
+    kept = sorted((r["doc_id"] or -1, " ".join(r["text"].split())) for r in b.drop_near_copies(docs).collect())
+    assert kept == [(-1, "first null"), (-1, "second null"), (-1, "third null"), (2, "other words"), (2, "zz " + long), (3, "a b c d e f"), (5, "p q r s t u v"), (5, "x y z")]
+
+
 def test_signatures_are_unbiased():
     m = 2000
     sets = [np.array([[1, 3], [2, 1], [3, 7], [4, 1]]), np.array([[1, 5], [2, 1], [3, 4], [9, 2]])]
