@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._stage import staged
+from ._stage import release, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
@@ -32,10 +32,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, a hash of the text, source and size of every row, with a row number ``rid``; written once."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    return staged(rows.withColumn("rid", F.monotonically_increasing_id()), "sized")
+def sized(docs: DataFrame, rid: str | None = None) -> DataFrame:
+    """doc_id, a hash of the text, source and size of every row, with a row number ``rid`` (the column of that name, or a new one); written once."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), (F.col(rid) if rid else F.monotonically_increasing_id()).alias("rid"))
+    return staged(rows, "sized")
 
 
 def targets(rows: DataFrame, share: float = SHARE, repeats: int = REPEATS, weights: tuple = WEIGHTS) -> DataFrame:
@@ -169,18 +169,16 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix takes them: a row for each document and epoch, with the columns of ``docs``.
 
     At most one document of each source is taken in part; its text ends after the last
-    word taken, and n_chars follows. Rows that repeat both doc_id and text count once.
+    word taken, and n_chars follows. Rows that repeat both doc_id and text are documents of their own.
     Rows lie by shard and shuffled place; a document goes whole to where its first piece is.
     """
-    rows = sized(docs)
+    numbered = staged(docs.withColumn("_dw_row", F.monotonically_increasing_id()), "numbered")
+    rows = sized(numbered, "_dw_row")
     _, draws = draw(rows)
-    known = rows.select("rid", F.col("doc_id").alias("_dw_id"), F.col("text_key").alias("_dw_key"), F.col("size").alias("_dw_size"))
-    places = placed(mix(draws), "rid", "epoch").join(known, "rid")
-    draws = staged(places.select("_dw_id", "_dw_key", F.col("epoch").alias("_dw_epoch"), F.col("taken").alias("_dw_taken"), "_dw_size", F.col("shard").alias("_dw_shard"), F.col("position").alias("_dw_position")), "draws")
-    d = docs.withColumn("_dw_k", F.xxhash64("text"))
-    if not rows.groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty():
-        d, draws = d.dropDuplicates(["doc_id", "_dw_k"]), draws.dropDuplicates(["_dw_id", "_dw_key", "_dw_epoch"])
-    d = d.join(draws, d["doc_id"].cast("long").eqNullSafe(draws["_dw_id"]) & (d["_dw_k"] == draws["_dw_key"]))
+    places = placed(mix(draws), "rid", "epoch").join(rows.select("rid", "size"), "rid")
+    draws = staged(places.select(F.col("rid").alias("_dw_row"), F.col("taken").alias("_dw_taken"), F.col("size").alias("_dw_size"), F.col("shard").alias("_dw_shard"), F.col("position").alias("_dw_position")), "draws")
+    release(rows)
+    d = numbered.join(draws, "_dw_row")
     words = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     part = F.array_join(F.slice(words, F.lit(1), F.col("_dw_taken").cast("int")), "")
     cut = F.col("_dw_taken") < F.col("_dw_size")

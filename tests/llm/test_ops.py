@@ -277,6 +277,17 @@ def test_jobs_lay_out_what_the_tree_deals(spark, tmp_path):
     assert len({s for s, _ in first.values()}) == 8 and laid == [i for _, i in sorted((place, i) for (i, _), place in by_epoch.items())]
 
 
+def test_repeated_rows_are_mixed_each(spark):
+    rows = [(1, "hot text of five", "a")] * 30 + [(None, "none known", "a")] * 4 + [(2, "b " * 40, "b"), (3, "c " * 90, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, words = {}, {}
+    for r in mixing.mixed_sizes(docs).collect():
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["taken"]
+    for r in mixing.mixed_documents(docs).collect():
+        words[r["doc_id"]] = words.get(r["doc_id"], 0) + len(r["text"].split())
+    assert words == {i: n for i, n in taken.items() if n} and words[1] > 4
+
+
 def test_hypergeometric_draws(spark):
     rows = spark.range(20_000).select(F.expr("(id + 0.5D) / 20000").alias("u"), F.lit(30).cast("long").alias("g"), F.lit(70).cast("long").alias("r"), F.lit(20).cast("long").alias("n"))
     x = np.array([r[0] for r in rows.select(F.expr(mixing._hypergeometric("g", "r", "n", "u"))).collect()])
