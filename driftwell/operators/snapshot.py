@@ -49,9 +49,13 @@ def key_range(view: DataFrame, key: str, low=None, high=None) -> DataFrame:
     return reduce(lambda d, c: d.filter(c), bounds, view)
 
 
-def whole_database(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """(table_name, key) of every row of every table, by name; None without tables is an error."""
-    parts = [d.select(F.lit(n).alias("table_name"), F.col(k).cast("string").alias("key")) for n, (d, k) in sorted(tables.items())]
+def whole_database(tables: dict[str, tuple[DataFrame, str | list[str]]]) -> DataFrame:
+    """(table_name, key) of every row of every table, by name; several key columns are joined by commas; None without tables is an error."""
+
+    def key(k: str | list[str]) -> Column:
+        return F.col(k).cast("string") if isinstance(k, str) else F.array_join(F.array(*(F.col(c).cast("string") for c in k)), ",", "")
+
+    parts = [d.select(F.lit(n).alias("table_name"), key(k).alias("key")) for n, (d, k) in sorted(tables.items())]
     if not parts:
         raise ValueError("there are no tables")
     return reduce(DataFrame.unionByName, parts)

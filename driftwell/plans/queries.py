@@ -206,6 +206,26 @@ def q23_whole_db_scan(spark, d):
     return snapshot.whole_database({t: (read(spark, d, t), k) for t, k in (("nation", "n_nationkey"), ("region", "r_regionkey"), ("supplier", "s_suppkey"))})
 
 
+#: Every table and what names its rows.
+KEYS = {
+    "benchmark": "item_id", "conversations": ["conv_id", "turn"], "customer": "c_custkey", "documents": "doc_id", "embeddings": "vec_id", "events": "event_id", "labels": "doc_id",
+    "lineitem": ["l_orderkey", "l_linenumber"], "nation": "n_nationkey", "orders": "o_orderkey", "pages": "page_id", "part": "p_partkey", "region": "r_regionkey", "supplier": "s_suppkey",
+}
+
+
+@query("""
+SELECT 'benchmark' AS table_name, CAST(item_id AS VARCHAR) AS key FROM benchmark UNION ALL SELECT 'conversations', coalesce(CAST(conv_id AS VARCHAR), '') || ',' || coalesce(CAST(turn AS VARCHAR), '') FROM conversations
+UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR) FROM customer UNION ALL SELECT 'documents', CAST(doc_id AS VARCHAR) FROM documents
+UNION ALL SELECT 'embeddings', CAST(vec_id AS VARCHAR) FROM embeddings UNION ALL SELECT 'events', CAST(event_id AS VARCHAR) FROM events
+UNION ALL SELECT 'labels', CAST(doc_id AS VARCHAR) FROM labels UNION ALL SELECT 'lineitem', coalesce(CAST(l_orderkey AS VARCHAR), '') || ',' || coalesce(CAST(l_linenumber AS VARCHAR), '') FROM lineitem
+UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR) FROM nation UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR) FROM orders
+UNION ALL SELECT 'pages', CAST(page_id AS VARCHAR) FROM pages UNION ALL SELECT 'part', CAST(p_partkey AS VARCHAR) FROM part
+UNION ALL SELECT 'region', CAST(r_regionkey AS VARCHAR) FROM region UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR) FROM supplier
+""")
+def q23b_whole_db_scan_all_tables(spark, d):
+    return snapshot.whole_database({t: (read(spark, d, t), k) for t, k in KEYS.items()})
+
+
 @query(f"WITH {LOG} SELECT k, lsn, ty, v FROM l QUALIFY row_number() OVER (PARTITION BY k ORDER BY lsn DESC) = 1")
 def q24_newest_per_key(spark, d):
     return snapshot.newest(log(spark, d), ["k"], ["lsn"]).select("k", "lsn", "ty", "v")

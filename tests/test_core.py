@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -231,6 +232,13 @@ def test_registered_cycles_have_no_bound(spark):
     assert got == want and len(got) > core.queries()["q35_wait_for_cycle"](spark, d).count()
 
 
+def test_whole_scan_reads_every_table(spark):
+    d = "/root/testdata/sf0.001"
+    names = sorted(f.removesuffix(".parquet") for f in os.listdir(d) if f.endswith(".parquet"))
+    got = {r["table_name"]: r["count"] for r in core.queries()["q23b_whole_db_scan_all_tables"](spark, d).groupBy("table_name").count().collect()}
+    assert got == {t: spark.read.parquet(f"{d}/{t}.parquet").count() for t in names}
+
+
 def test_floor_rank_and_summary(spark):
     df = spark.range(128).select(F.lit("g").alias("g"), F.col("id").cast("double").alias("v"))
     assert df.agg(scalars.floor_rank(F.col("v"), 0.95)).first()[0] == 120
