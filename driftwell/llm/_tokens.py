@@ -80,7 +80,9 @@ def chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 class CachedEncoder:
     """``spaced``: the white space before a word belongs to its tokens (byte-level BPE); otherwise white space and case are dropped.
 
-    Strings of special tokens within a text are ordinary text.
+    Ids are those of the library's own ``encode(text, add_special_tokens=False)``. A text that
+    holds the string of an added token (``<|endoftext|>``) has that token's id there, and goes to the
+    library whole, as what stands beside such a string does not split into chunks.
     """
 
     def __init__(self, path: str, spaced: bool) -> None:
@@ -88,7 +90,7 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters, self.spaced, self.turn = self.tokenizer.model, _byte_letters(), spaced, 0
         self.key, self.check = np.empty(0, np.uint64), np.empty(0, np.uint64)
         self.begin, self.size, self.used = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
@@ -100,12 +102,28 @@ class CachedEncoder:
         ids, at, done, i = [np.empty(0, np.uint32)], [np.zeros(1, np.int64)], 0, 0
         while i < len(texts):
             j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + GROUP, side="right")))
-            x, a = self._encode(texts.slice(i, j - i))
+            x, a = self._group(texts.slice(i, j - i))
             ids.append(x)
             at.append(a[1:] + done)
             done, i = done + len(x), j
         return np.concatenate(ids), np.concatenate(at)
 
+    def _group(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        whole = np.zeros(len(texts), bool)
+        for t in self.added:  # in any case, as a vocabulary may match after its normalizer
+            whole |= pc.fill_null(pc.match_substring(texts, t, ignore_case=True), False).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._encode(texts)
+        rest, at = self._encode(pc.if_else(pa.array(whole), pa.scalar("", texts.type), texts))
+        made = self.tokenizer.encode_batch_fast(texts.filter(pa.array(whole)).to_pylist(), add_special_tokens=False)
+        n = np.diff(at)
+        n[whole] = [len(e.ids) for e in made]
+        ids, at = np.empty(int(n.sum()), np.uint32), np.concatenate([[0], np.cumsum(n)])
+        ids[np.repeat(~whole, n)] = rest
+        for i, e in zip(np.flatnonzero(whole).tolist(), made, strict=True):
+            ids[at[i] : at[i + 1]] = e.ids
+        return ids, at
+
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         parts, begin = chunks(texts)
         coded = parts.dictionary_encode()

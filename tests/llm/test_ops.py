@@ -111,8 +111,9 @@ def test_cached_ids_are_the_librarys(sf, name, spaced, monkeypatch):
     monkeypatch.setattr(_tokens, "GROUP", 5_000)
     path = _tokens.vocabulary(name)
     plain, cached = Tokenizer.from_file(path), _tokens.CachedEncoder(path, spaced)
-    plain.encode_special_tokens = True
-    texts = TEXTS + pq.read_table(f"{sf}/documents.parquet", columns=["text"])["text"].to_pylist()[:60]
+    odd = ["hello <|endoftext|> world", "<|startoftext|>a<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> b", "plain"]
+    assert {i for t in odd for i in plain.encode(t, add_special_tokens=False).ids} & {50256, 49407}
+    texts = TEXTS + odd + pq.read_table(f"{sf}/documents.parquet", columns=["text"])["text"].to_pylist()[:60]
     for _ in range(2):
         ids, at = cached.encode(pa.array(texts, pa.string()))
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
@@ -122,7 +123,7 @@ def test_cached_ids_are_the_librarys(sf, name, spaced, monkeypatch):
 def test_packing_loses_nothing_and_is_tight(spark, sf, monkeypatch):
     monkeypatch.setattr(packing, "GROUP", 40)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", F.lit(1).alias("row"))
-    docs = docs.unionByName(spark.createDataFrame([(None, "x", 1), (3, None, 1), (3, "", 1)], "doc_id long, text string, row int"))
+    docs = docs.unionByName(spark.createDataFrame([(None, "x", 1), (3, None, 1), (3, "", 1), (4, "hello <|endoftext|> world", 1)], "doc_id long, text string, row int"))
     got = packing.pack_documents(docs, _tokens.vocabulary("byte_bpe_50k.json")).collect()
     from tokenizers import Tokenizer
 
@@ -171,7 +172,7 @@ def test_sum_of_squares_places_like_its_rule():
 def test_token_files(spark, sf, encoding):
     from tokenizers import Tokenizer
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").filter("doc_id < 60").unionByName(spark.createDataFrame([(1000, None), (1001, ""), (None, "null id")], "doc_id long, text string"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").filter("doc_id < 60").unionByName(spark.createDataFrame([(1000, None), (1001, ""), (1002, "<|startoftext|> a <|endoftext|>"), (None, "null id")], "doc_id long, text string"))
     path, out = _tokens.vocabulary("word_bpe_49k.json"), fresh_path(spark, "tokens-test")
     token_files.write_tokens(docs, out, path, encoding=encoding, row_group_bytes=64 << 10)
     plain, at, want = Tokenizer.from_file(path), 0, []
