@@ -7,7 +7,10 @@ only for a piece that fits into none. (Opening one wherever that makes the sum s
 is usual without knowing what follows, took 1.1 % more sequences; in arrival order 5 %.) Pieces are packed in groups of some tens of
 thousands (the group comes from a hash of doc_id, so one source cannot crowd a group); the
 sequences that end with a gap are broken up and their pieces meet in fewer, later groups,
-round by round, so what is left open does not grow with the number of groups.
+round by round, so what is left open does not grow with the number of groups. The number of
+groups follows what is left, so a task never gets more than about ``GROUP`` pieces; a round
+that settles less than ``LEAST`` of its pieces (say, all are of 600 tokens) is the last, and its
+sequences stay as they are.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ CAPACITY, END_ID = 1024, 2
 GROUP = 60_000
 #: A sequence with a larger gap is broken up before the next round.
 GAP = 2
+LEAST = 0.05
 PIECE = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -86,7 +90,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     return seq, offset
 
 
-def _pack(capacity: int, level: int, last: bool):
+def _pack(capacity: int, level: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [f for f in frames if len(f)]
         if not held:
@@ -98,28 +102,29 @@ def _pack(capacity: int, level: int, last: bool):
             used = np.bincount(seq, weights=f["length"].to_numpy(np.float64))
             f["sequence_id"] = (level << 56) + (int(group) << 24) + seq
             f["offset"] = offset
-            f["settled"] = True if last else (capacity - used <= GAP)[seq]
+            f["settled"] = (capacity - used <= GAP)[seq]
             yield f.drop(columns="part")
 
     return run
 
 
 def pack(items: DataFrame, n_items: int, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces -> the same rows with sequence_id and offset. ``n_items`` sizes the groups."""
+    """Pieces -> the same rows with sequence_id and offset. ``n_items``, the pieces that do not fill a sequence, sizes the groups."""
     fields = f"{PIECE}, sequence_id long, offset long, settled boolean"
     whole = items.filter(F.col("length") == capacity)
     out = [whole.withColumn("sequence_id", F.lit(1 << 62) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))]
-    rest, level, groups = items.filter(F.col("length") < capacity), 0, max(1, round(n_items / GROUP))
+    rest, left, level = items.filter(F.col("length") < capacity), n_items, 0
     while True:
-        last = groups == 1
+        groups = max(1, round(left / GROUP))
         part = F.pmod(F.xxhash64("doc_id", "row", F.lit(level)), F.lit(groups)).cast("long")
         dealt = rest.withColumn("part", part).repartition(groups, "part")
-        done = staged(dealt.mapInPandas(_pack(capacity, level, last), fields), f"packed{level}")
-        out.append(done.filter("settled").drop("settled"))
-        if last:
+        done = staged(dealt.mapInPandas(_pack(capacity, level), fields), f"packed{level}")
+        before, left = left, done.filter("not settled").count() if groups > 1 else 0
+        if groups == 1 or left > (1 - LEAST) * before:
+            out.append(done.drop("settled"))
             break
+        out.append(done.filter("settled").drop("settled"))
         rest, level = done.filter("not settled").select(*[f.split()[0] for f in PIECE.split(", ")]), level + 1
-        groups = max(1, min(groups // 8, round(rest.count() / GROUP)))
     table = out[0]
     for t in out[1:]:
         table = table.unionByName(t)

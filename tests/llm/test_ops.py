@@ -147,6 +147,43 @@ def test_packing_loses_nothing_and_is_tight(spark, sf, monkeypatch):
     assert packing.pack_documents(docs.limit(0), _tokens.vocabulary("byte_bpe_50k.json")).count() == 0
 
 
+@pytest.mark.parametrize("lengths", [[600], [600, 500, 10], [1000, 24], [700, 200, 100, 30]])
+def test_packing_tasks_stay_small(spark, monkeypatch, lengths):
+    """However little fits together, no task gets all that is left."""
+    monkeypatch.setattr(packing, "GROUP", 50)
+    for n in (400, 4_000):
+        seen = spark.sparkContext.accumulator(0)
+        largest = []
+        real = packing._pack
+
+        def noted(capacity, level, real=real):
+            def run(frames):
+                def every():
+                    for f in frames:
+                        seen.add(len(f))
+                        yield f
+
+                yield from real(capacity, level)(every())
+
+            return run
+
+        monkeypatch.setattr(packing, "_pack", noted)
+        rows = spark.range(n).select(F.col("id").alias("doc_id"), F.col("id").alias("row"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.element_at(F.array(*map(F.lit, lengths)), (F.col("id") % len(lengths)).cast("int") + 1).cast("long").alias("length"), F.lit(0).cast("long").alias("ids_crc32"))
+        got = packing.pack(rows, n).collect()
+        monkeypatch.setattr(packing, "_pack", real)
+        groups = {}
+        for r in got:
+            groups.setdefault(r["sequence_id"] >> 24, []).append(r["length"])
+        largest = max(map(len, groups.values()))
+        assert len(got) == n and sum(r["length"] for r in got) == sum(lengths[i % len(lengths)] for i in range(n))
+        assert largest <= 110 and seen.value <= 5 * n
+        sequences = {}
+        for r in got:
+            sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for s in sequences.values():
+            assert [o for o, _ in sorted(s)] == [sum(x for _, x in sorted(s)[:k]) for k in range(len(s))] and sum(x for _, x in s) <= 1024
+
+
 def test_sum_of_squares_places_like_its_rule():
     rng = np.random.default_rng(1)
     sizes = np.sort(rng.integers(1, 33, 300))[::-1]
