@@ -6,7 +6,8 @@ walks the tree best bin first: down to the nearest child, the siblings into a pr
 queue, then on from the nearest of these. How many leaves a query visits is calibrated:
 for at most ``PROBES`` queries the true neighbours among all rows are found by a linear
 scan, and visits widen until the leaves seen hold ``TARGET`` of them. Leaves with many
-vectors are cut into blocks, so no task gets more than ``BLOCK`` vectors of a leaf.
+vectors are cut into blocks and the queries that visit a leaf into chunks: a group that a task
+compares has about ``BLOCK`` vectors and ``CHUNK`` queries, however many the leaf has of either.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from ._stage import hashed_sample, staged
 
-SAMPLE, PROBES, TARGET, BLOCK = 20_000, 64, 0.97, 4_096
-FOUND = "query_id long, vec_id long, score double"
+SAMPLE, PROBES, TARGET, BLOCK, CHUNK = 20_000, 64, 0.97, 4_096, 4_096
+FOUND = "query long, query_id long, vec_id long, score double"
 
 
 class KMeansTree:
@@ -122,20 +123,22 @@ def _nearest(ids: np.ndarray, v: np.ndarray, query: int, q: np.ndarray, k: int)
 
 
 def build(rows: DataFrame, sample: int = SAMPLE) -> tuple[KMeansTree | None, DataFrame]:
-    """The tree and the index: vec_id, v, leaf for every usable row. No tree if there are none."""
+    """The tree and the index: vec_id, v, leaf and a number ``row`` (unique in its task) for every usable row. No tree if there are none."""
     v = usable(rows)
     got = hashed_sample(v, "vec_id", sample, v.count()).toPandas()
     if got.empty:
-        return None, v.withColumn("leaf", F.lit(0))
+        return None, v.withColumns({"leaf": F.lit(0), "row": F.lit(0).cast("long")})
     tree = KMeansTree(np.stack(got["v"]))
     held = v.sparkSession.sparkContext.broadcast(tree)
 
     def file(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = 0
         for f in frames:
             f["leaf"] = held.value.assign(np.stack(f["v"])) if len(f) else np.empty(0, np.int64)
+            f["row"], n = np.arange(n, n + len(f)), n + len(f)
             yield f
 
-    return tree, staged(v.mapInPandas(file, "vec_id long, v array<double>, leaf int"), "vectors")
+    return tree, staged(v.mapInPandas(file, "vec_id long, v array<double>, leaf int, row long"), "vectors")
 
 
 def calibrate(tree: KMeansTree, index: DataFrame, queries: DataFrame, k: int, target: float = TARGET, probes: int = PROBES) -> int:
@@ -143,22 +146,22 @@ def calibrate(tree: KMeansTree, index: DataFrame, queries: DataFrame, k: int, ta
     some = hashed_sample(queries, "vec_id", probes, queries.count()).toPandas()
     if some.empty:
         return 1
-    held = index.sparkSession.sparkContext.broadcast((some["vec_id"].to_numpy(), np.stack(some["v"])))
+    held = index.sparkSession.sparkContext.broadcast((some["query"].to_numpy(), some["vec_id"].to_numpy(), np.stack(some["v"])))
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if not len(f):
                 continue
             ids, v, leaf = f["vec_id"].to_numpy(), np.stack(f["v"]), f["leaf"].to_numpy()
-            for q, x in zip(*held.value, strict=True):
+            for n, q, x in zip(*held.value, strict=True):
                 near, score = _nearest(ids, v, q, x, k)
-                yield pd.DataFrame({"query_id": q, "vec_id": ids[near], "score": score, "leaf": leaf[near]})
+                yield pd.DataFrame({"query": n, "query_id": q, "vec_id": ids[near], "score": score, "leaf": leaf[near]})
 
-    true = top(index.mapInPandas(scan, f"{FOUND}, leaf int"), k).select("query_id", "leaf").toPandas()
+    true = top(index.mapInPandas(scan, f"{FOUND}, leaf int"), k).select("query", "leaf").toPandas()
     ranks = []
-    for q, x in zip(some["vec_id"], some["v"], strict=True):
+    for q, x in zip(some["query"], some["v"], strict=True):
         at = {leaf: n for n, leaf in enumerate(tree.visits(np.asarray(x)))}
-        ranks += [at[leaf] for leaf in true.loc[true["query_id"] == q, "leaf"]]
+        ranks += [at[leaf] for leaf in true.loc[true["query"] == q, "leaf"]]
     visits = 1
     while ranks and np.mean(np.array(ranks) < visits) < target:
         visits += 1
@@ -167,59 +170,72 @@ def calibrate(tree: KMeansTree, index: DataFrame, queries: DataFrame, k: int, ta
 
 def top(found: DataFrame, k: int) -> DataFrame:
     """The k nearest of each query, with rank; ties go to the smaller vec_id."""
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    order = Window.partitionBy("query").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def search(rows: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     """(vec_id, embedding) -> query_id, rank, vec_id, score of the ``k`` nearest found for each row whose id is divisible by ``every``.
 
-    Candidates are all usable rows with another id. Vectors that are null, zero, hold
-    nulls or non-finite numbers, or have an unusual length take no part; an empty table
-    gives an empty result. A query visits more leaves than calibrated if those hold
-    fewer than ``k`` candidates.
+    Candidates are all usable rows with another id, each row for itself where rows repeat an
+    id. Query rows that repeat id and vector are one query; those that repeat an id only are
+    queries of their own, with a list each. Vectors that are null, zero, hold nulls or
+    non-finite numbers, or have another length than most take no part, nor do null ids; an
+    empty table gives an empty result. Other columns are not read. A query visits more leaves
+    than calibrated if those hold fewer than ``k`` candidates.
     """
     tree, index = build(rows)
     if tree is None:
         return index.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    queries = index.filter(F.col("vec_id") % every == 0).select("vec_id", "v")
+    queries = index.filter(F.col("vec_id") % every == 0).select("vec_id", "v").distinct()
+    queries = staged(queries.withColumn("query", F.monotonically_increasing_id()), "queries")
     visits = calibrate(tree, index, queries, k)
-    counts = np.zeros(tree.leaves, np.int64)  # a number for each leaf of the bounded tree
-    for r in index.groupBy("leaf").count().collect():
-        counts[r["leaf"]] = r["count"]
+    counts = _by_leaf(index, tree)
     blocks = np.maximum(1, -(-counts // BLOCK))
-    held = index.sparkSession.sparkContext.broadcast((tree, counts, blocks))
+    held = index.sparkSession.sparkContext.broadcast((tree, counts))
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, counts, blocks = held.value
+        tree, counts = held.value
         for f in frames:
-            for q, x in zip(f["vec_id"], f["v"], strict=True):
+            for n, q, x in zip(f["query"], f["vec_id"], f["v"], strict=True):
                 own, seen = [], 0
-                for n, leaf in enumerate(tree.visits(np.asarray(x))):
-                    if n >= visits and seen > k:
+                for i, leaf in enumerate(tree.visits(np.asarray(x))):
+                    if i >= visits and seen > k:
                         break
                     seen += counts[leaf]
-                    own += ((leaf, b) for b in range(blocks[leaf]) if counts[leaf])
-                yield pd.DataFrame({"query_id": q, "leaf": [x[0] for x in own], "block": [x[1] for x in own], "q": [x] * len(own)})
+                    if counts[leaf]:
+                        own.append(leaf)
+                yield pd.DataFrame({"query": n, "query_id": q, "leaf": own})
 
-    def block(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            n = held.value[2][f["leaf"].to_numpy()] if len(f) else np.empty(0, np.int64)
-            h = f["vec_id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            f["block"] = ((h >> np.uint64(33)).astype(np.int64) % n) if len(f) else n
-            yield f
+    walks = staged(queries.mapInPandas(walk, "query long, query_id long, leaf int"), "walks")
+    chunks = np.maximum(1, -(-_by_leaf(walks, tree) // CHUNK))
+    # a number for each leaf of the bounded tree: in how many blocks and chunks it comes
+    sizes = index.sparkSession.createDataFrame([(leaf, int(b), int(c)) for leaf, (b, c) in enumerate(zip(blocks, chunks, strict=True))], "leaf int, blocks int, chunks int")
+    sizes = F.broadcast(sizes)
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            return pd.DataFrame({"query": [], "query_id": [], "vec_id": [], "score": []}).astype({"query": "int64", "query_id": "int64", "vec_id": "int64", "score": "float64"})
         ids, v = right["vec_id"].to_numpy(), np.stack(right["v"])
-        found = [(q, *_nearest(ids, v, q, np.asarray(x), k)) for q, x in zip(left["query_id"], left["q"], strict=True)]
-        near, n = np.concatenate([f[1] for f in found]), [len(f[1]) for f in found]
-        return pd.DataFrame({"query_id": np.repeat([f[0] for f in found], n), "vec_id": ids[near], "score": np.concatenate([f[2] for f in found])})
-
-    asked = queries.mapInPandas(walk, "query_id long, leaf int, block int, q array<double>").groupBy("leaf", "block")
-    filed = index.mapInPandas(block, "vec_id long, v array<double>, leaf int, block int").groupBy("leaf", "block")
-    return top(asked.cogroup(filed).applyInPandas(compare, FOUND), k).select("query_id", "rank", "vec_id", "score")
+        found = [(n, q, *_nearest(ids, v, q, np.asarray(x), k)) for n, q, x in zip(left["query"], left["query_id"], left["v"], strict=True)]
+        near, n = np.concatenate([f[2] for f in found]), [len(f[2]) for f in found]
+        return pd.DataFrame({"query": np.repeat([f[0] for f in found], n), "query_id": np.repeat([f[1] for f in found], n), "vec_id": ids[near], "score": np.concatenate([f[3] for f in found])})
+
+    key = ["leaf", "block", "chunk"]
+    every_one = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = walks.join(sizes, "leaf").withColumn("chunk", F.pmod(F.xxhash64("query"), F.col("chunks")).cast("int")).withColumn("block", every_one("blocks"))
+    asked = asked.join(queries.select("query", "v"), "query").select(*key, "query", "query_id", "v")
+    filed = index.join(sizes, "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id", "row"), F.col("blocks")).cast("int")).withColumn("chunk", every_one("chunks"))
+    found = asked.groupBy(*key).cogroup(filed.select(*key, "vec_id", "v").groupBy(*key)).applyInPandas(compare, FOUND)
+    return top(found, k).select("query_id", "rank", "vec_id", "score")
+
+
+def _by_leaf(rows: DataFrame, tree: KMeansTree) -> np.ndarray:
+    """How many rows each leaf of the (bounded) tree has."""
+    counts = np.zeros(tree.leaves, np.int64)
+    for r in rows.groupBy("leaf").count().collect():
+        counts[r["leaf"]] = r["count"]
+    return counts
 
 
 def op10_ann(spark, sf_dir: str) -> DataFrame:

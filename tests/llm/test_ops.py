@@ -432,6 +432,21 @@ def test_neighbours(spark):
     assert ann_tree.search(df.limit(0)).count() == 0
 
 
+def test_repeated_vectors_are_searched_once(spark, monkeypatch):
+    """Against brute force over rows: repeated queries, repeated candidates, one id with two vectors, small blocks and chunks."""
+    monkeypatch.setattr(ann_tree, "BLOCK", 16)
+    monkeypatch.setattr(ann_tree, "CHUNK", 3)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(4).round(3).tolist()) for i in range(50)]
+    rows += [rows[0], rows[0], rows[7], rows[7], (20, rng.standard_normal(4).round(3).tolist()), (31, rows[10][1])]
+    got = ann_tree.search(spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, query long, block int"), every=10).collect()
+    want = []
+    for q, x in sorted({(i, tuple(v)) for i, v in rows if i % 10 == 0}):
+        near = sorted((float(np.sqrt(((np.array(v) - np.array(x)) ** 2).sum())), i) for i, v in rows if i != q)[:10]
+        want += [(q, k + 1, i, round(d, 9)) for k, (d, i) in enumerate(near)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got) == sorted(want)
+
+
 def test_staged_tables_keep_schema(spark):
     df = spark.createDataFrame([(1, None)], "a int, b array<struct<x:long>>")
     assert staged(df, "t").schema == df.schema
