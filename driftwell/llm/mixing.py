@@ -23,6 +23,8 @@ from ._stage import release, staged
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
 BLOCK_WORDS, SHARD_WORDS, SEED = 256, 32_000_000, 17
+#: Blocks that meet their shards' runs under one join key.
+STRETCH = 256
 #: Documents of one window; sources of a broadcast table.
 BUCKET_ROWS, BROADCAST_SOURCES = 20_000, 50_000
 
@@ -77,8 +79,8 @@ def _hypergeometric(good: str, rest: str, draws: str, u: str) -> str:
     return f"transform(array(struct({low} as lo, {high} as hi)), b -> transform(array({total}), total -> {find})[0])[0]"
 
 
-def shard_ends(sources: DataFrame, shards: int, block_words: int, seed: int) -> DataFrame:
-    """(src, quota) -> a row for each source: src, ends (where each shard's run of its blocks ends)."""
+def shard_runs(sources: DataFrame, shards: int, block_words: int, seed: int) -> DataFrame:
+    """(src, quota) -> src, shard, low, high: the run of a source's blocks (``high`` excluded) that a shard takes, where it takes any."""
     blocks = F.ceil(F.col("quota") / F.lit(block_words)).cast("long")
     counts = F.transform(F.sort_array(F.collect_list(F.struct("src", blocks.alias("n")))), lambda x: x["n"])
     nodes = sources.agg(counts.alias("counts")).select(F.lit(0).cast("long").alias("node"), "counts")
@@ -91,33 +93,29 @@ def shard_ends(sources: DataFrame, shards: int, block_words: int, seed: int) ->
         nodes = nodes.withColumn("total", F.expr("aggregate(counts, 0L, (a, c) -> a + c)")).withColumn("near", F.expr(drawn))
         halves = F.array(F.struct((F.col("node") * 2).alias("node"), F.col("near").alias("counts")), F.struct((F.col("node") * 2 + 1).alias("node"), F.expr("zip_with(counts, near, (c, x) -> c - x)").alias("counts")))
         nodes = nodes.select(F.explode(halves).alias("h")).select("h.node", "h.counts")
-    runs = nodes.select("node", F.posexplode("counts").alias("src", "n"))
-    own = Window.partitionBy("src").orderBy("node")
-    runs = runs.withColumn("end", F.sum("n").over(own))
-    return runs.groupBy("src").agg(F.transform(F.sort_array(F.collect_list(F.struct("node", "end"))), lambda y: y["end"]).alias("ends"))
+    runs = nodes.select(F.col("node").cast("int").alias("shard"), F.posexplode("counts").alias("src", "n")).filter("n > 0")
+    high = F.sum("n").over(Window.partitionBy("src").orderBy("shard"))
+    return runs.select("src", "shard", (high - F.col("n")).alias("low"), high.alias("high"))
 
 
-def draw(rows: DataFrame, share: float = SHARE, repeats: int = REPEATS, weights: tuple = WEIGHTS, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(sources, draws) of ``sized`` rows.
+def draw(rows: DataFrame, share: float = SHARE, repeats: int = REPEATS, weights: tuple = WEIGHTS, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sources, draws, runs) of ``sized`` rows.
 
     Draws have a row for each document and epoch of which the mix takes words: rid, doc_id,
     text_key, epoch, ``at`` (the document's place among the words drawn from its source),
-    taken, src, ends. The words taken are the document's first.
+    taken, src. The words taken are the document's first. Runs are ``shard_runs``.
     """
     s = staged(targets(rows, share, repeats, weights), "targets")
     facts = s.agg(F.sum("quota"), F.count("*")).first()
     shards = 2 ** max(3, math.ceil(math.log2(max(1, (facts[0] or 0) / shard_words))))
-    if facts[1]:
-        s = staged(s.join(shard_ends(s, shards, block_words, seed), "src"), "quotas")
-    else:
-        s = s.withColumn("ends", F.array().cast("array<bigint>"))
+    runs = staged(shard_runs(s, shards, block_words, seed), "runs")
     known = F.broadcast(s) if facts[1] <= BROADCAST_SOURCES else s
     n_rows = rows.count()
     bits = max(0, math.ceil(math.log2(max(1, n_rows / BUCKET_ROWS))))
     d = rows.join(known.drop("target"), rows["source"].eqNullSafe(known["source"])).drop("source")
     epochs = F.ceil(F.col("quota") / F.col("source_size")).cast("int")
     d = d.filter("size > 0 and quota > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
-    d = d.withColumn("h", F.xxhash64(F.lit(seed), "epoch", "doc_id"))
+    d = d.withColumn("h", F.xxhash64(F.lit(seed), "epoch", "doc_id", "text_key"))
     d = d.withColumn("bucket", F.shiftrightunsigned("h", 64 - bits).cast("long") if bits else F.lit(0).cast("long"))
     keys = ["src", "epoch", "bucket"]
     sums = d.groupBy(*keys).agg(F.sum("size").alias("n"))
@@ -126,19 +124,25 @@ def draw(rows: DataFrame, share: float = SHARE, repeats: int = REPEATS, weights:
     inner = F.coalesce(F.sum("size").over(Window.partitionBy(*keys).orderBy("h", "doc_id", "text_key", "rid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     d = d.withColumn("at", F.col("epoch") * F.col("source_size") + F.col("base") + inner)
     d = d.withColumn("taken", F.least(F.col("size"), F.col("quota") - F.col("at"))).filter("taken > 0")
-    return s, d.select("rid", "doc_id", "text_key", "epoch", "at", "taken", "src", "ends")
+    return s, d.select("rid", "doc_id", "text_key", "epoch", "at", "taken", "src"), runs
 
 
-def mix(draws: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """Draws -> a row for each block's part of a document: shard, position there, rid, doc_id, epoch, first_word, n_words."""
+def mix(draws: DataFrame, runs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+    """Draws -> a row for each block's part of a document: shard, position there, src, rid, doc_id, epoch, first_word, n_words.
+
+    A block finds its shard among the runs that reach into its stretch of ``STRETCH`` blocks, so
+    a join key has that many blocks and runs at most, however long the source.
+    """
     b = F.col("block") * block_words
     p = draws.withColumn("block", F.explode(F.expr(f"sequence(at div {block_words}, (at + taken - 1) div {block_words})")))
     p = p.withColumn("first_word", F.greatest(b, F.col("at")) - F.col("at"))
     p = p.withColumn("n_words", F.least(b + block_words, F.col("at") + F.col("taken")) - F.greatest(b, F.col("at")))
-    p = p.withColumn("shard", F.expr("size(filter(ends, e -> e <= block))"))
+    p = p.withColumn("stretch", F.expr(f"block div {STRETCH}"))
+    reach = runs.withColumn("stretch", F.explode(F.expr(f"sequence(low div {STRETCH}, (high - 1) div {STRETCH})")))
+    p = p.join(reach, ["src", "stretch"]).filter("block >= low and block < high")
     place = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "src", "block"), "src", "block", "at")
     p = p.withColumn("position", F.row_number().over(place))
-    return p.select("shard", "position", "rid", "doc_id", "epoch", "first_word", "n_words")
+    return p.select("shard", "position", "src", "rid", "doc_id", "epoch", "first_word", "n_words")
 
 
 def placed(pieces: DataFrame, *by: str) -> DataFrame:
@@ -154,12 +158,13 @@ def mixed_sizes(docs: DataFrame) -> DataFrame:
 
     Shard and position are the place of the first of its pieces in the mix; null if none is taken.
     Null texts have size 0 and are never taken; a null source is a source of its own, the
-    last; rows that repeat a doc_id are documents of their own. An empty table gives an
+    last; rows that repeat a doc_id are documents of their own (those that repeat the text too
+    stand next to each other in the random order). An empty table gives an
     empty result. Other columns are not read.
     """
     rows = sized(docs)
-    s, draws = draw(rows)
-    taken = placed(mix(draws), "rid")
+    s, draws, runs = draw(rows)
+    taken = placed(mix(draws, runs), "rid")
     known = F.broadcast(s) if s.count() <= BROADCAST_SOURCES else s
     out = rows.join(known, rows["source"].eqNullSafe(known["source"])).join(taken, "rid", "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "shard", "position")
@@ -174,8 +179,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """
     numbered = staged(docs.withColumn("_dw_row", F.monotonically_increasing_id()), "numbered")
     rows = sized(numbered, "_dw_row")
-    _, draws = draw(rows)
-    places = placed(mix(draws), "rid", "epoch").join(rows.select("rid", "size"), "rid")
+    _, draws, runs = draw(rows)
+    places = placed(mix(draws, runs), "rid", "epoch").join(rows.select("rid", "size"), "rid")
     draws = staged(places.select(F.col("rid").alias("_dw_row"), F.col("taken").alias("_dw_taken"), F.col("size").alias("_dw_size"), F.col("shard").alias("_dw_shard"), F.col("position").alias("_dw_position")), "draws")
     release(rows)
     d = numbered.join(draws, "_dw_row")

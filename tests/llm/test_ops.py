@@ -1,4 +1,5 @@
 import hashlib
+import math
 import os
 import random
 import zlib
@@ -284,24 +285,69 @@ def test_mix_meets_targets(spark, monkeypatch):
 def test_shards_are_exact_and_disjoint(spark):
     rows = [(i, "w " * 50, f"s{i % 3}") for i in range(120)]
     sized = mixing.sized(spark.createDataFrame(rows, "doc_id long, text string, source string"))
-    s, draws = mixing.draw(sized, block_words=16, shard_words=200)
-    pieces = mixing.mix(draws, block_words=16).collect()
+    s, draws, runs = mixing.draw(sized, block_words=16, shard_words=200)
+    assert "ends" not in draws.columns + s.columns
+    pieces = mixing.mix(draws, runs, block_words=16).collect()
     quota = {r["src"]: r["quota"] for r in s.collect()}
     assert sum(p["n_words"] for p in pieces) == sum(quota.values())
     blocks = {}
     for p in pieces:
         blocks.setdefault(p["shard"], []).append(p["position"])
     assert all(sorted(v) == list(range(1, len(v) + 1)) for v in blocks.values()) and len(blocks) == 64
-    ends = {r["src"]: r["ends"] for r in s.collect()}
-    assert all(e[-1] == -(-quota[k] // 16) and e == sorted(e) for k, e in ends.items())
-    total = [sum(e[k] - (e[k - 1] if k else 0) for e in ends.values()) for k in range(64)]
+    own = {}
+    for r in runs.collect():
+        own.setdefault(r["src"], []).append((r["low"], r["high"], r["shard"]))
+    for k, parts in own.items():
+        parts.sort()
+        assert [low for low, _, _ in parts] == [0, *(high for _, high, _ in parts[:-1])] and parts[-1][1] == -(-quota[k] // 16) and [x for *_, x in parts] == sorted(x for *_, x in parts)
+    total = [sum(high - low for parts in own.values() for low, high, shard in parts if shard == k) for k in range(64)]
     assert max(total) - min(total) <= 1
 
 
+def plain_tree(spark, quotas, shards, block_words, seed):
+    """(src, shard) -> blocks, by exact inversion of the hypergeometric law; only the uniform numbers come from Spark."""
+    nodes = {0: [-(-q // block_words) for q in quotas]}
+    for level in range(shards.bit_length() - 1):
+        u = {(r[0], r[1]): r[2] for r in spark.range(1 << level).selectExpr("id as node", f"explode(sequence(0, {len(quotas) - 1})) as i").selectExpr("node", "i", f"(shiftrightunsigned(xxhash64({seed}, {level}, node, i), 11) + 0.5D) / 9007199254740992D").collect()}
+        below = {}
+        for node, counts in nodes.items():
+            pop, near = sum(counts), []
+            draws = pop - pop // 2
+            for i, c in enumerate(counts):
+                ways = [math.comb(c, k) * math.comb(pop - c, draws - k) for k in range(min(c, draws) + 1)]
+                want, k, total = u[node, i] * sum(ways), 0, ways[0]
+                while total <= want:
+                    k += 1
+                    total += ways[k]
+                near.append(k)
+                pop, draws = pop - c, draws - k
+            below[2 * node], below[2 * node + 1] = near, [c - x for c, x in zip(counts, near, strict=True)]
+        nodes = below
+    return {(i, shard): n for shard, counts in nodes.items() for i, n in enumerate(counts) if n}
+
+
+def test_shards_hold_what_a_plain_tree_deals(spark):
+    rows = [(i, f"w{i} " + "w " * (3 + 17 * i % 90), f"s{i * i % 4}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    s, draws, runs = mixing.draw(mixing.sized(docs), block_words=16, shard_words=400)
+    quotas = [r["quota"] for r in s.orderBy("src").collect()]
+    shards = 1 << max(3, math.ceil(math.log2(sum(quotas) / 400)))
+    want = plain_tree(spark, quotas, shards, 16, mixing.SEED)
+    assert {(r["src"], r["shard"]): r["high"] - r["low"] for r in runs.collect()} == want
+    words, pieces = {}, mixing.mix(draws, runs, block_words=16)
+    for p in pieces.collect():
+        words[p["src"], p["shard"]] = words.get((p["src"], p["shard"]), 0) + p["n_words"]
+    last = {i: max(x for j, x in want if j == i) for i in range(len(quotas))}
+    for (i, shard), n in want.items():  # a source's last block may be short
+        assert words[i, shard] == 16 * n - (-quotas[i] % 16 if shard == last[i] else 0)
+    plan = mixing.mixed_sizes(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "stretch" in plan and "shard" in plan and "position" in plan
+
+
 def test_jobs_lay_out_what_the_tree_deals(spark, tmp_path):
     rows = [(i, f"w{i} " + "w " * (7 * i % 600), f"s{i % 3}") for i in range(150)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    pieces = mixing.mix(mixing.draw(mixing.sized(docs))[1]).collect()
+    pieces = mixing.mix(*mixing.draw(mixing.sized(docs))[1:]).collect()
     first, by_epoch = {}, {}
     for p in pieces:
         place = (p["shard"], p["position"])
