@@ -1,10 +1,11 @@
 """Exact deduplication with a cuckoo-filter index.
 
 Equal texts share the SHA-256 of the text in which each run of ASCII white space is one
-space. Digests go through a cuckoo index twice: once in each scan task, which leaves one
-row for each digest of the task (so that a text with a third of all rows crosses the
-shuffle once for each task), and once in the task that owns the digest. The classes then
-meet their documents on (digest, salt); the salt comes from doc_id, so a hot text is
+space. Digests go through a cuckoo index twice: once in each scan task, which leaves about
+one row for each digest of the task (so that a text with a third of all rows crosses the
+shuffle a few times for each task), and once in the task that owns the digest. An index of a
+scan task is given out and begun anew at ``FLUSH`` digests; the tasks that own digests are so
+many that each gets about ``OWNED`` rows at most. The classes then meet their documents on (digest, salt); the salt comes from doc_id, so a hot text is
 spread over ``SALTS`` join keys.
 """
 
@@ -22,6 +23,8 @@ from ._stage import release, staged
 SPACES = r"[\x20\x09-\x0D]+"
 SALTS = 64
 SLOTS = 4
+#: Live digests at which a scan task's index is given out; rows of a task that owns digests.
+FLUSH, OWNED = 200_000, 1_000_000
 
 
 class CuckooIndex:
@@ -118,12 +121,16 @@ def _ids(s: pd.Series) -> list:
     return [None if x is None or x != x else int(x) for x in s.astype(object)]
 
 
-def _index(frames: Iterator[pd.DataFrame]) -> CuckooIndex:
+def _indices(frames: Iterator[pd.DataFrame], flush: int | None = None) -> Iterator[CuckooIndex]:
+    """One index of all rows, or several of which each has ``flush`` digests at most."""
     index = CuckooIndex()
     for f in frames:
         for k, i, n, t in zip(f["digest"], _ids(f["first"]), f["n"], f["salts"], strict=True):
             index.add(bytes(k), i, int(n), int(t) & (2**SALTS - 1))
-    return index
+            if flush and index.live >= flush:
+                yield index
+                index = CuckooIndex()
+    yield index
 
 
 def _signed(t: int) -> int:
@@ -131,14 +138,15 @@ def _signed(t: int) -> int:
 
 
 def _partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = [(k, f, n, _signed(t)) for k, (f, n, t) in _index(frames).items()]
-    for at in range(0, len(rows), 20_000):
-        yield _table(rows[at : at + 20_000], ["digest", "first", "n", "salts"])
+    for index in _indices(frames, FLUSH):
+        rows = [(k, f, n, _signed(t)) for k, (f, n, t) in index.items()]
+        for at in range(0, len(rows), 20_000):
+            yield _table(rows[at : at + 20_000], ["digest", "first", "n", "salts"])
 
 
 def _final(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows = []
-    for k, (f, n, t) in _index(frames).items():
+    for k, (f, n, t) in next(_indices(frames)).items():
         rows += ((k, s, f, n) for s in range(SALTS) if t >> s & 1)
         if len(rows) >= 20_000:
             yield _table(rows, ["digest", "salt", "keep_id", "group_size"])
@@ -155,10 +163,12 @@ def _table(rows: list, names: list[str]) -> pd.DataFrame:
 
 
 def classes(digests: DataFrame) -> DataFrame:
-    """(digest binary, doc_id, salt) -> a row for each digest and each salt that occurs with it: keep_id, group_size."""
+    """(digest binary, doc_id, salt), a written table -> a row for each digest and each salt that occurs with it: keep_id, group_size."""
+    n = digests.count()
+    tasks = max(1, min(int(digests.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // 20_000)), -(-n // OWNED))
     mapped = digests.select("digest", F.col("doc_id").alias("first"), F.lit(1).cast("long").alias("n"), F.expr("shiftleft(1L, salt)").alias("salts"))
     partial = mapped.mapInPandas(_partial, "digest binary, first long, n long, salts long")
-    return partial.repartition(F.col("digest")).mapInPandas(_final, "digest binary, salt int, keep_id long, group_size long")
+    return partial.repartition(tasks, "digest").mapInPandas(_final, "digest binary, salt int, keep_id long, group_size long")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -176,7 +186,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns; of rows that repeat id and text, ``first_of``."""
     keep = staged(exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_dw_id"), F.col("text_sha256").alias("_dw_digest")), "kept")
     twice = staged(keep_repeats(docs), "repeats")
     same = docs.withColumn("_dw_d", text_digest(docs["text"]))
@@ -184,7 +194,14 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     if twice.isEmpty():
         release(twice)
         return out.select(*docs.columns)
-    return out.dropDuplicates(["doc_id", "_dw_d"]).select(*docs.columns)
+    return first_of(out, ["doc_id", "_dw_d"], docs.columns)
+
+
+def first_of(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``columns`` of one row for each of ``keys``: the one with the smallest hash of all its columns, so reruns agree."""
+    order = F.to_json(F.struct(*(F.col(c) for c in columns)))
+    w = Window.partitionBy(*keys).orderBy(F.xxhash64(order), order)
+    return rows.withColumn("_dw_nth", F.row_number().over(w)).filter("_dw_nth = 1").select(*columns)
 
 
 def keep_repeats(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -101,6 +102,22 @@ def test_exact_classes(spark):
     assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
 
 
+def test_scan_tasks_give_their_index_out(monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FLUSH", 5)
+    frame = pd.DataFrame({"digest": [bytes([k % 7]) * 32 for k in range(70)], "first": range(70), "n": 1, "salts": [1] * 70})
+    sizes = [index.live for index in exact_dedup._indices(iter([frame]), 5)]
+    assert max(sizes) <= 5 and len(sizes) > 10
+    got = next(exact_dedup._indices(exact_dedup._partial(iter([frame]))))
+    assert sorted(r for _, r in got.items()) == [(k, 10, 1) for k in range(7)]
+
+
+def test_kept_row_of_repeats_is_the_same_each_time(spark):
+    rows = [(1, "a b", k) for k in range(50)] + [(None, "c", k) for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, other long")
+    got = [sorted(exact_dedup.drop_copies(docs.repartition(n)).collect(), key=str) for n in (1, 3, 7)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 2
+
+
 # tokens, packing and token files
 
 
