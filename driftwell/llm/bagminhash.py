@@ -100,8 +100,9 @@ def bag_minhash(text: np.ndarray, shingle: np.ndarray, count: np.ndarray, texts:
 
     Weights are cut into the levels [0, 1), [1, 2), [2, 4), [4, 8) ... Each shingle and level
     has a Poisson process of its own, with the level's width as rate; a point has a time, a
-    register and a place in the level. A level that reaches beyond the weight is thinned:
-    its points count where their place lies below. A register holds the earliest time. All
+    register and a place in the level. The levels are the hierarchy: a level's process is not
+    split further, as a level that reaches beyond the weight is thinned instead (its points
+    count where their place lies below). A register holds the earliest time. All
     processes advance by a point at a time (by more where few are left), and one stops once
     it is later than every register of its text. Times are multiples of 2^-30, so their sums
     are exact and equal points give equal registers on any machine.
@@ -420,13 +421,13 @@ def _single(texts: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``near_classes`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``near_classes`` keeps, with all their columns; of rows that repeat id and words, ``first_of``."""
     keep = staged(_classified(docs).filter("kept").select(F.col("doc_id").alias("_dw_id"), F.col("digest").alias("_dw_digest")), "kept")
     if exact_dedup.keep_repeats(docs).isEmpty():
         return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["_dw_id"]), "left_semi").select(*docs.columns)
     same = docs.withColumn("_dw_d", word_digest(docs["text"]))
     out = same.join(keep, same["doc_id"].cast("long").eqNullSafe(keep["_dw_id"]) & (same["_dw_d"] == keep["_dw_digest"]), "left_semi")
-    return out.dropDuplicates(["doc_id", "_dw_d"]).select(*docs.columns)
+    return exact_dedup.first_of(out, ["doc_id", "_dw_d"], docs.columns)
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
