@@ -3,8 +3,9 @@
 Each task sorts its pages by URL key and time and writes them as WARC records, one gzip
 member each, to archive files in the shared folder; the rows that it returns, a sorted run
 of the capture index, name only files that it finished, so what a lost task left behind is
-never read. The runs are dealt out by ranges of (URL key, time, page) and in each range a
-loser tree merges them: capture histories in global order. Archives are read back record
+never read. The runs are dealt out by ranges of (URL key, time, page, run, place), about
+``RANGE`` captures each, and in each range a loser tree merges them: capture histories in
+global order. Archives are read back record
 by record at the places that the merged index gives.
 
 Archives are written and read through ``pyarrow.fs`` at the shared folder's own URI.
@@ -16,10 +17,13 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import urlsplit
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,6 +33,7 @@ from ._stage import fresh_path, staged
 
 LEAST = 100  # bytes of a payload that can be revisited
 ARCHIVE_BYTES = 64 << 20
+RANGE = 250_000  # captures of a merging task, about
 CAPTURE = "run string, nth long, urlkey string, ts string, page_id long, record_type string, digest string, file string, offset long, length long"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, urlkey string, ts string"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -90,19 +95,22 @@ class LoserTree:
 
     def __init__(self, runs: list[Iterator], key) -> None:
         self.runs, self.key, self.k = runs, key, max(1, len(runs))
-        self.head = [next(r, None) for r in runs] or [None]
+        self.head = [self._next(r) for r in runs] or [None]
         self.tree = [-1] * self.k
         for i in range(self.k):
             self._play(i)
 
+    def _next(self, run: Iterator) -> tuple | None:
+        """A run's next item under its key, which is made once."""
+        return next(((self.key(x), x) for x in run), None)
+
     def _before(self, a: int, b: int) -> bool:
         if a < 0 or b < 0:
             return a < 0  # a place that is still open wins, until all have played
         x, y = self.head[a], self.head[b]
         if x is None or y is None:
             return y is None and (x is not None or a < b)
-        p, q = self.key(x), self.key(y)
-        return p < q or (p == q and a < b)
+        return x[0] < y[0] or (x[0] == y[0] and a < b)
 
     def _play(self, winner: int) -> None:
         node = (winner + self.k) // 2
@@ -114,8 +122,8 @@ class LoserTree:
 
     def __iter__(self) -> Iterator:
         while (x := self.head[w := self.tree[0]]) is not None:
-            yield x
-            self.head[w] = next(self.runs[w], None)
+            yield x[1]
+            self.head[w] = self._next(self.runs[w])
             self._play(w)
 
 
@@ -138,7 +146,7 @@ def write_archives(decided: DataFrame, folder: str, archive_bytes: int = ARCHIVE
 
     Pages have no time of their own; a fixed day plus page_id seconds (over a year) stands in.
     """
-    key = F.udf(url_key, "string", useArrow=True)
+    key = F.pandas_udf(lambda urls: pd.Series([url_key(u) for u in urls], dtype=object), "string")
     stamp = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(31_536_000))), "yyyyMMddHHmmss")
     rows = decided.withColumn("urlkey", key("url")).withColumn("ts", stamp).sortWithinPartitions("urlkey", "ts", "page_id", "digest")
 
@@ -174,26 +182,37 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
-    """The runs of a capture index -> captures in global order of (urlkey, ts, page_id): ``part`` and ``place`` in it.
+    """The runs of a capture index, a written table -> captures in global order of (urlkey, ts, page_id): ``part`` and ``place`` in it.
 
-    A task merges what each run has in its range of keys. Null page ids come first.
+    A task merges what each run has in its range of keys. No two captures share a key, as their
+    run and their place in it belong to it, so no URL makes a range large. A task holds its
+    range as Arrow columns and gives the merged captures out in batches. Null page ids come first.
     """
-    dealt = runs.repartitionByRange("urlkey", "ts", "page_id").sortWithinPartitions("run", "nth")
+    n = runs.count()
+    ranges = max(1, min(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // 5_000)), -(-n // RANGE))
+    dealt = runs.repartitionByRange(ranges, "urlkey", "ts", "page_id", "run", "nth").sortWithinPartitions("run", "nth")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [f for f in frames if len(f)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
         if not held:
             return
-        f = pd.concat(held, ignore_index=True)
-        keys = list(zip(f["urlkey"], f["ts"], [-(1 << 63) if x is None or x != x else int(x) for x in f["page_id"].astype(object)], strict=True))
-        tree = LoserTree([iter(x) for x in f.groupby("run", sort=True).indices.values()], keys.__getitem__)
-        g = f.iloc[list(tree)].drop(columns=["run", "nth"])
-        g["page_id"] = g["page_id"].astype("Int64")
-        g.insert(0, "place", range(len(g)))
-        g.insert(0, "part", TaskContext.get().partitionId())
-        yield g
-
-    return dealt.mapInPandas(run, "part int, place long, " + CAPTURE.split(", ", 2)[2])
+        t = pa.Table.from_batches(held).combine_chunks()
+        part, kept = TaskContext.get().partitionId(), t.drop_columns(["run", "nth"])
+        own = [t[c].combine_chunks() for c in ("urlkey", "ts", "page_id")]
+        begin = [0, *(np.flatnonzero(pc.not_equal(t["run"].slice(1), t["run"].slice(0, len(t) - 1)).to_numpy()) + 1).tolist()]
+        tree = LoserTree([iter(range(a, z)) for a, z in zip(begin, [*begin[1:], len(t)], strict=True)], lambda i: _order(*(c[i].as_py() for c in own)))
+        order, at = iter(tree), 0
+        while some := list(islice(order, 20_000)):
+            b = kept.take(pa.array(some, pa.int64())).combine_chunks().to_batches()[0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), part, np.int32)), pa.array(np.arange(at, at + len(some))), *b.columns], ["part", "place", *b.schema.names])
+            at += len(some)
+
+    return dealt.mapInArrow(run, "part int, place long, " + CAPTURE.split(", ", 2)[2])
+
+
+def _order(urlkey: str, ts: str, page_id: int | None) -> tuple[bytes, str, int]:
+    """What captures sort by, as Spark sorts: text by its UTF-8 bytes, nulls first."""
+    return urlkey.encode("utf-8", "surrogatepass"), ts, -(1 << 63) if page_id is None else page_id
 
 
 def histories(merged: DataFrame) -> DataFrame:

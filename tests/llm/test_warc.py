@@ -39,5 +39,23 @@ def test_merged_index_is_globally_ordered(spark):
     assert sum(h.values()) == 300 and set(h) == {k for k, _, _ in m}
 
 
+def test_ranges_stay_small_whatever_the_url(spark, monkeypatch):
+    """All captures of one URL and one time: ranges still split, and no task gets more than its share of what a third more may add."""
+    monkeypatch.setattr(w, "RANGE", 100)
+    for n in (300, 3_000):
+        runs = w.staged(spark.range(n).selectExpr("concat('r', id % 4) as run", "id div 4 as nth", "'com,x)/' as urlkey", "'20240101000000' as ts", "7L as page_id", "'response' as record_type", "'d' as digest", "'f' as file", "id as offset", "1L as length"), "runs")
+        got = w.merge_runs(runs).collect()
+        parts = {}
+        for r in got:
+            parts.setdefault(r["part"], []).append(r["place"])
+        assert len(got) == n and max(map(len, parts.values())) <= 200 and all(sorted(p) == list(range(len(p))) for p in parts.values())
+
+
+def test_large_payloads(spark):
+    big = "<p>" + "x" * 20_000_000
+    got = w.archive(spark.createDataFrame([(1, "http://a.example.com/", big), (2, "http://a.example.com/", big), (3, None, "y" * 99)], "page_id long, url string, html string"), fresh_path(spark, "warc-big")).collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got) == [(1, len(big), "response", None), (2, len(big), "revisit", 1), (3, 99, "response", None)]
+
+
 def test_url_keys():
     assert w.url_key("http://www.x.com") == "com,x)/" and w.url_key("https://x.com:8443/A?Q=1") == "com,x:8443)/a?q=1" and w.url_key(None) == "-"
