@@ -23,6 +23,7 @@ from ._tokens import encoder, vocabulary
 END_ID = 1
 ROWS = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 IDS = "ids.list.element"
+PART_BYTES = 32 << 20  # of text that a part holds, about
 
 
 def encode_documents(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
@@ -45,12 +46,15 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = END_ID, enc
     """Write the token files of ``docs`` (doc_id, text) to the folder ``out``, in ascending order of doc_id.
 
     Part k holds smaller ids than part k + 1 and is sorted; null ids come first, rows that
-    repeat an id stay next to each other in the order of their texts' hashes.
+    repeat an id stay next to each other in the order of their texts' hashes. The number of
+    parts follows the bytes of the texts. Other columns than doc_id and text are not read.
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"unknown encoding {encoding!r}")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
-    dealt = narrow.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // 100_000)), -(-size // PART_BYTES))
+    dealt = narrow.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     encode_documents(dealt, path, end_id).write.options(**{
         "compression": "zstd",
         "parquet.writer.version": "PARQUET_2_0" if encoding == "delta" else "PARQUET_1_0",
@@ -68,14 +72,14 @@ def read_tokens(spark: SparkSession, out: str, low: int | None = None, high: int
     """doc_id, start, n_tokens and ids of the documents from ``low`` to ``high``; the bounds reach the scan's page indexes.
 
     ``start`` counts the ids of all documents before. The sums by part that it needs are
-    one row for each file, which is what bounds the broadcast.
+    one row for each file; whether the join broadcasts them goes by their size.
     """
     sums = read_metadata(spark, out).groupBy("part").agg(F.sum("n_tokens").alias("n"))
     bases = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     rows = spark.read.schema(ROWS).parquet(out)
     for c in ([F.col("doc_id") >= low] if low is not None else []) + ([F.col("doc_id") <= high] if high is not None else []):
         rows = rows.filter(c)
-    return rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    return rows.join(bases, "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
 def checksums(tokens: DataFrame) -> DataFrame:
