@@ -9,8 +9,8 @@ is its windows' largest, brought to a probability by a logistic curve fitted on
 documents that the network was not trained on.
 
 Labels are learnt from at most ``SAMPLE`` documents of each label (those with the smallest
-hashes of doc_id), ``PER_DOC`` windows of each in training; every window of every document
-is scored.
+hashes of doc_id, texts of at most ``SAMPLE_BYTES`` only, which bounds what the driver gets),
+``PER_DOC`` windows of each in training; every window of every document is scored.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from ._stage import hashed_sample
 from .quality_qda import _sigmoid, remainder
 
 WINDOW, STRIDE, SAMPLE, PER_DOC, THRESHOLD = 24, 12, 2_000, 12, 0.7
+SAMPLE_BYTES = 200_000
 GRAMS, WORDS, CHAR_DIM, WORD_DIM, HIDDEN, ATTENTION = 1 << 15, 1 << 14, 12, 4, 8, 6
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 MARKS = ".,;:!?\"'()[]{}<>*&%$#|-_/\\"
@@ -271,13 +272,16 @@ def _calibrated(net: BiGru, texts: list[str], y: np.ndarray, weight: np.ndarray)
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled documents of each label for which ``learn`` holds, a quarter of them for the curve only."""
+    """Fit on at most ``sample`` labelled documents of each label for which ``learn`` holds, a quarter of them for the curve only.
+
+    Labels that repeat an id count once (toxic if one of them is), documents that repeat it each.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & learn)
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     rates = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     total = sum(rates.values())
     ids = [hashed_sample(known.filter(F.col("y") == k), "doc_id", sample, rates.get(k, 0)) for k in (0, 1)]
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids[0].union(ids[1])), "doc_id")
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES).join(F.broadcast(ids[0].union(ids[1])), "doc_id")
     got = got.limit(4 * sample).toPandas().sort_values(["doc_id", "text"], ignore_index=True)[: 2 * sample]
     got = got.sample(frac=1, random_state=3, ignore_index=True)
     if got["y"].nunique() < 2 or len(got) < 8:
@@ -293,8 +297,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): doc_id, held_out, score, predicted.
 
-    Null and empty texts are one window of no words. A null doc_id is not held out and
-    never learnt from. Without both labels every score is the labels' base rate. An empty
+    Null and empty texts are one window of one empty word. Rows that repeat a doc_id are scored each
+    by its own text. A null doc_id is not held out and never learnt from. Without both labels every score is the labels' base rate. An empty
     table gives an empty result; other columns are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, remainder(F.col("doc_id"), 3) != 1))
