@@ -176,7 +176,8 @@ def read_back(segments: DataFrame) -> DataFrame:
 
     SHA-256 of a whole conversation is serial, so its segments pass one task in turn
     order, as a stream: that task holds a batch of them, never the conversation. Turns
-    with equal numbers follow each other by segment.
+    with equal numbers follow each other by segment, repeated rows each count as a turn, null
+    conversation ids are one conversation. No segments give no rows; other columns are not read.
     """
     order = segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segment")
     return order.select("conv_id", "segment", "loss_start", "loss_end").mapInPandas(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
@@ -186,6 +187,7 @@ PROBE = "</s>[INST] ok [/INST]"
 
 
 def op1_chat_format(spark, sf_dir: str) -> DataFrame:
+    """A row for each conversation and one for the probe, which is all that an empty table gives; other columns than conv_id, turn, role and text are not read."""
     probe = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(t).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(PROBE).alias("text")) for t, r in ((0, "user"), (1, "assistant"))))).alias("x")).select("x.*")
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     return read_back(format_turns(text_turns(rows.unionByName(probe))))

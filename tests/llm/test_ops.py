@@ -227,7 +227,7 @@ def test_sum_of_squares_places_like_its_rule():
 def test_token_files(spark, sf, encoding):
     from tokenizers import Tokenizer
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").filter("doc_id < 60").unionByName(spark.createDataFrame([(1000, None), (1001, ""), (1002, "<|startoftext|> a <|endoftext|>"), (None, "null id")], "doc_id long, text string"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").filter("doc_id < 60").unionByName(spark.createDataFrame([(1000, None), (1001, ""), (1001, "twice"), (1003, "long one " * 40_000), (1002, "<|startoftext|> a <|endoftext|>"), (None, "null id")], "doc_id long, text string"))
     path, out = _tokens.vocabulary("word_bpe_49k.json"), fresh_path(spark, "tokens-test")
     token_files.write_tokens(docs, out, path, encoding=encoding, row_group_bytes=64 << 10)
     plain, at, want = Tokenizer.from_file(path), 0, []
@@ -422,12 +422,36 @@ def test_mahalanobis_differences_are_gaussian_densities():
     q = quality_qda._shrunk(x, y, 0.2, 0.1)
     z = (x - q.mid) / q.scale
     dens = []
-    for m, f, part in zip(q.means, q.factors, (0, 1), strict=True):
-        c = f @ f.T
+    for m, f, part in zip(q.means, q.inverses, (0, 1), strict=True):
+        c = np.linalg.inv(f) @ np.linalg.inv(f).T
         dens.append(-0.5 * np.einsum("ij,jk,ik->i", z - m, np.linalg.inv(c), z - m) - 0.5 * np.linalg.slogdet(c)[1] + np.log(((y == part).sum() + 1) / 402))
     assert np.allclose(q.difference(x), dens[1] - dens[0])
 
 
+def plain_statistics(text):
+    """The document statistics, character by character and word by word."""
+    b = (text or "").encode()
+    kinds = dict.fromkeys(quality_qda._KINDS, 0)
+    own = {"lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": "0123456789", "space": " \t\r\x0b\x0c", "newline": "\n", "stop": ".,;:'\"-", "shout": "!?", "bar": "|", "bracket": "()[]{}<>/\\"}
+    kind = lambda c: "high" if c >= 128 else next((k for k, chars in own.items() if chr(c) in chars), "symbol")
+    for c in b:
+        kinds[kind(c)] += 1
+    kinds["upper"] += sum((text or "").count(c) for c in "ÄÉÇÊÑÓÖÜ")
+    out = [math.log((k + 1) / (len(b) - min(k, len(b)) + 1 + len(b) * 1e-3)) for k in kinds.values()]
+    words, lines, logit = b.split(), b.split(b"\n"), lambda k, n: math.log((k + 0.5) / (n - min(k, n) + 0.5))
+    sizes = [len(w) for w in words] or [0]
+    mean = sum(sizes) / len(sizes)
+    marked = sum(kind(w[-1]) in ("bar", "bracket", "symbol", "shout") for w in words)
+    out += [math.log1p(len(b)), math.log1p(len(words)), math.log1p(mean), math.log1p((sum((s - mean) ** 2 for s in sizes) / len(sizes)) ** 0.5), logit(len(set(words)), max(1, len(words))), logit(marked, max(1, len(words)))]
+    pairs = len({(x, y) for x, y in zip(words, words[1:], strict=False)}) if len(words) > 1 else 1
+    return out + [math.log1p(max(sizes)), math.log1p(len(lines)), logit(len(set(lines)), len(lines)), logit(pairs, max(1, len(words) - 1))]
+
+
+def test_statistics_are_the_plain_ones(sf):
+    texts = [t for t in TEXTS if t is None or "\u3000" not in t] + pq.read_table(f"{sf}/documents.parquet", columns=["text"])["text"].to_pylist()[:80] + ["ÉTÉ! {x} |", "A\n\nA\nb?"]
+    assert np.allclose(quality_qda.statistics(pa.array(texts, pa.string())), [plain_statistics(t) for t in texts])
+
+
 def test_toxicity(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")
@@ -441,6 +465,37 @@ def test_toxicity(spark):
     assert toxicity_gru.toxicity_scores(odd.limit(0), labels).count() == 0 and toxicity_gru.toxicity_scores(odd, labels.limit(0)).count() == 4
 
 
+def plain_logit(net, text):
+    """The largest window logit of one text, word by word and gate by gate."""
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    words = [w.strip(toxicity_gru.MARKS) for w in (text or "").lower().split() or [""]]
+    sigmoid = lambda t: 1 / (1 + np.exp(-t))
+    h, n, best = toxicity_gru.HIDDEN, len(words), -np.inf
+    starts = [0] if n <= 24 else sorted({min(k * 12, n - 24) for k in range(-(-(n - 24) // 12) + 1)})
+    lex = toxicity_gru.Lexicon(words)
+    x = [np.concatenate([p["chars"][lex.grams[lex.at[i] : lex.at[i + 1]]].mean(0) if lex.count[i] else np.zeros(toxicity_gru.CHAR_DIM), p["word"][lex.bucket[i]]]) for i in range(n)]
+    for a in starts:
+        own = x[a : a + 24]
+        states = np.zeros((len(own), 2 * h))
+        for k, way in enumerate("fb"):
+            s = np.zeros(h)
+            for t in range(len(own)) if way == "f" else reversed(range(len(own))):
+                g, r = own[t] @ p[f"wx{way}"] + p[f"bx{way}"], s @ p[f"wh{way}"]
+                z, reset = sigmoid(g[:h] + r[:h]), sigmoid(g[h : 2 * h] + r[h : 2 * h])
+                s = (1 - z) * np.tanh(g[2 * h :] + reset * r[2 * h :]) + z * s
+                states[t, k * h : (k + 1) * h] = s
+        e = [float(np.tanh(s @ p["wa"]) @ p["va"]) for s in states]
+        weights = np.exp(e) / np.exp(e).sum() if e else np.zeros(0)
+        best = max(best, float(sum((w * s for w, s in zip(weights, states, strict=True)), np.zeros(2 * h)) @ p["u"] + p["c"][0]))
+    return best
+
+
+def test_logits_are_the_plain_scorers():
+    net, rng = toxicity_gru.BiGru(3), random.Random(4)
+    texts = ["", None, "one", "One, two! (three)", " ".join(rng.choice(["alpha", "beta", "d'or", "x.", "ÉTÉ", "--", "y" * 30]) for _ in range(24)), *(" ".join(rng.choice(["alpha", "beta", "gamma!", "42"]) for _ in range(n)) for n in (25, 36, 37, 100))]
+    assert np.allclose(toxicity_gru.logits(net, pa.array(texts, pa.string())), [plain_logit(net, t) for t in texts], atol=1e-4)
+
+
 def test_gru_gradients():
     net = toxicity_gru.BiGru(1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
