@@ -6,39 +6,99 @@ one unbounded row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNKS = 64
+#: Keys of a chunk, about, where the number of chunks follows the table.
+CHUNK_KEYS = 1_000_000
+
+
+def value_of(columns: list[str]) -> Column:
+    """What an index files a row under: several columns make a JSON array, one is itself."""
+    return F.col(columns[0]) if len(columns) == 1 else F.to_json(F.array(*(F.col(c).cast("string") for c in columns)))
+
+
+def chunks_for(rows: int) -> int:
+    """Chunks that keep a posting list's rows bounded whichever value they all have."""
+    return max(1, -(-rows // CHUNK_KEYS))
+
+
+def _part(chunks: int) -> Column:
+    return F.pmod(F.xxhash64("pk"), F.lit(chunks)).cast("int")
+
+
+def _lists(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("value", "part").agg(F.sort_array(F.collect_set("pk")).alias("pks"))
 
 
 def entries(table: DataFrame, columns: list[str], pk: str) -> DataFrame:
-    """(value, pk) of rows that have all indexed columns; several columns make a JSON array, one is itself."""
-    value = F.col(columns[0]) if len(columns) == 1 else F.to_json(F.array(*(F.col(c).cast("string") for c in columns)))
+    """(value, pk) of rows that have all indexed columns."""
     full = table
     for c in columns:
         full = full.filter(F.col(c).isNotNull())
-    return full.select(value.alias("value"), F.col(pk).alias("pk"))
+    return full.select(value_of(columns).alias("value"), F.col(pk).alias("pk"))
 
 
 def build(table: DataFrame, columns: list[str], pk: str, chunks: int = 1) -> DataFrame:
     """(value, part, pks): sorted distinct keys of each value, in ``chunks`` parts by a hash of the key."""
-    part = F.pmod(F.xxhash64("pk"), F.lit(chunks)).cast("int")
-    return entries(table, columns, pk).withColumn("part", part).groupBy("value", "part").agg(F.sort_array(F.collect_set("pk")).alias("pks"))
+    return _lists(entries(table, columns, pk).withColumn("part", _part(chunks)))
 
 
-def add(index: DataFrame, new: DataFrame) -> DataFrame:
-    """Postings after (value, pk) rows were added."""
-    old = index.select("value", "part", F.explode("pks").alias("pk"))
-    chunks = index.agg(F.coalesce(F.max("part"), F.lit(0)) + 1).first()[0]
-    both = old.unionByName(new.select("value", F.pmod(F.xxhash64("pk"), F.lit(chunks)).cast("int").alias("part"), "pk"))
-    return both.groupBy("value", "part").agg(F.sort_array(F.collect_set("pk")).alias("pks"))
+def postings(index: DataFrame) -> DataFrame:
+    """(value, part, pk): a row for each key of each list."""
+    return index.select("value", "part", F.explode("pks").alias("pk"))
+
+
+def add(index: DataFrame, new: DataFrame, chunks: int = 1) -> DataFrame:
+    """Postings after (value, pk) rows were added; ``chunks`` as the index was built with."""
+    return _lists(postings(index).unionByName(new.select("value", _part(chunks).alias("part"), "pk")))
 
 
 def remove(index: DataFrame, gone: DataFrame) -> DataFrame:
     """Postings without (value, pk) rows; values left without keys go."""
-    rows = index.select("value", "part", F.explode("pks").alias("pk")).join(gone.select("value", "pk"), ["value", "pk"], "left_anti")
-    return rows.groupBy("value", "part").agg(F.sort_array(F.collect_set("pk")).alias("pks"))
+    return _lists(postings(index).join(gone.select("value", "pk"), ["value", "pk"], "left_anti"))
+
+
+def refreshed(index: DataFrame, touched: DataFrame, now: DataFrame, chunks: int) -> DataFrame:
+    """Postings after rows with the keys ``touched`` (pk) changed; ``now`` are their (value, pk) entries, if any."""
+    rest = postings(index).join(touched.select("pk").distinct(), "pk", "left_anti")
+    return _lists(rest.select("value", "part", "pk").unionByName(now.select("value", _part(chunks).alias("part"), "pk")))
+
+
+def compact(index: DataFrame, chunks: int) -> DataFrame:
+    """The same postings in another number of chunks; lists without keys go."""
+    return _lists(postings(index).select("value", _part(chunks).alias("part"), "pk"))
+
+
+def clear(index: DataFrame) -> DataFrame:
+    """No postings, in the index's columns."""
+    return index.limit(0)
+
+
+def encoded(index: DataFrame) -> DataFrame:
+    """(value, part, entry): each list as bytes: how many keys, then the length and the bytes of each key as text; numbers are 4 bytes, the highest first."""
+    number = lambda n: F.lpad(F.hex(n.cast("long")), 8, "0")
+    text = F.transform("pks", lambda k: k.cast("string"))
+    keys = F.array_join(F.transform(text, lambda k: F.concat(number(F.octet_length(k)), F.hex(k.cast("binary")))), "")
+    return index.select("value", "part", F.unhex(F.concat(number(F.size("pks")), keys)).alias("entry"))
+
+
+def decoded(entries: DataFrame) -> DataFrame:
+    """(value, part, pks) of ``encoded`` rows, the keys as text; bytes that end within a key are an error."""
+    h = F.hex("entry")
+    number = lambda at: F.conv(F.substring(h, at, 8), 16, 10).cast("int")
+    first = F.struct(F.lit(9).alias("at"), F.array().cast("array<string>").alias("keys"))
+
+    def step(s: Column, _: Column) -> Column:
+        n = number(s["at"])
+        key = F.unhex(F.substring(h, s["at"] + 8, 2 * n)).cast("string")
+        return F.struct((s["at"] + 8 + 2 * n).alias("at"), F.concat(s["keys"], F.array(key)).alias("keys"))
+
+    n = number(F.lit(1))
+    read = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), first, step)
+    whole = entries.select("value", "part", h.alias("_h"), read.alias("_r"))
+    return whole.select("value", "part", F.when(F.col("_r.at") == F.length("_h") + 1, F.col("_r.keys")).otherwise(F.raise_error(F.lit("an entry ends within a key"))).alias("pks"))
 
 
 def lookup(index: DataFrame, value) -> DataFrame:

@@ -1,14 +1,14 @@
 """Statements over a store: a thin layer for what Spark SQL lacks on plain Parquet tables.
 
 CREATE and DROP TABLE and INDEX, INSERT, UPDATE, DELETE, BEGIN, COMMIT, ROLLBACK, SET and SHOW are handled
-here; every SELECT is Spark SQL over snapshot views, so joins, aggregates and the rest come
+here; every query is Spark SQL over snapshot views, so joins, aggregates and the rest come
 with it. Outside a transaction each statement commits by itself; within one, statements see
 its own changes over the version it began with, and ROLLBACK forgets them.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 from ..functions.types import identifier, spark_type
 from ..operators import dml, indexes
 from ..sources.catalog import CatalogError, IndexDef, TableDef
-from ..sources.store import Store
-from . import lexer
+from ..sources.store import ConflictError, Store
+from . import grammar, lexer
+from .grammar import StatementError
 
 # What SHOW answers; other names are empty.
 SETTINGS = {
@@ -36,10 +37,6 @@ SETTINGS = {
 }
 
 
-class StatementError(ValueError):
-    """A statement that the dialect does not have or that is used wrongly."""
-
-
 @dataclass
 class Result:
     """A command tag and, for queries, their rows."""
@@ -59,10 +56,14 @@ def literal_select(spark: SparkSession, text: str) -> DataFrame:
 
 
 class Session:
-    """``text_equality``: conditions are the dialect's plain conjunctions, compared as text with null as ''; otherwise Spark SQL conditions on typed columns."""
+    """``text_equality``: conditions are the dialect's plain conjunctions, compared as text with null as ''; otherwise Spark SQL conditions on typed columns.
 
-    def __init__(self, spark: SparkSession, root: str, text_equality: bool = False) -> None:
-        self.spark, self.store, self.text_equality = spark, Store(spark, root), text_equality
+    A statement that commits by itself and leaves a table with more than ``compact_after``
+    batches has it compacted.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, text_equality: bool = False, compact_after: int = 64) -> None:
+        self.spark, self.store, self.text_equality, self.compact_after = spark, Store(spark, root), text_equality, compact_after
         self._end()
 
     def _end(self) -> None:
@@ -84,13 +85,10 @@ class Session:
             return Result("SET")
         if head == "SHOW" and len(words) == 2:
             return Result("SHOW", show(self.spark, identifier(words[1])))
-        if head == "SELECT":
+        if head in ("SELECT", "WITH"):
             return self._select(sql, words)
-        if head in ("CREATE", "DROP", "INSERT", "UPDATE", "DELETE"):
-            kind = "index" if head in ("CREATE", "DROP") and "INDEX" in (second, words[2].upper() if len(words) > 2 else "") else "table"
-            name = f"_{head.lower()}_{kind}" if head in ("CREATE", "DROP") else f"_{head.lower()}"
-            return self._mutate(getattr(self, name), sql.strip())
-        raise StatementError(f"unsupported statement: {sql}")
+        made = grammar.read(sql)
+        return self._mutate(lambda: self._DO[type(made)](self, made))
 
     def _begin(self) -> Result:
         if self.in_transaction:
@@ -124,22 +122,34 @@ class Session:
         self._end()
         return Result("ROLLBACK")
 
-    def _mutate(self, do, sql: str) -> Result:
+    def _mutate(self, do: Callable[[], Result]) -> Result:
         """A statement that fails leaves the transaction's earlier statements as they were."""
         if self.in_transaction:
             kept = ({n: TableDef.from_json(t.to_json()) for n, t in self._tables.items()}, set(self._touched), set(self._dropped))
             try:
-                return do(sql)
+                return do()
             except Exception:
                 self._tables, self._touched, self._dropped = kept
                 raise
         self._open()
         try:
-            out = do(sql)
+            out = do()
             self._publish()
-            return out
+            full = [n for n in self._touched if n in self._tables and len(self._tables[n].batches) > self.compact_after]
         finally:
             self._end()
+        for name in full:
+            self.compact(name)
+        return out
+
+    def compact(self, name: str) -> None:
+        """Rewrite a table as one batch and its indexes for it; if another commit changes the table meanwhile, a later one will."""
+        try:
+            self.store.compact(name)
+            for i in sorted(self._table(name).indexes):
+                self.reindex(name, i)
+        except ConflictError:
+            return
 
     # catalog
 
@@ -155,83 +165,97 @@ class Session:
         """A snapshot of a table."""
         return self.store.view(self._table(identifier(name)))
 
-    def _create_table(self, sql: str) -> Result:
-        m = re.match(r"CREATE\s+TABLE\s+(IF\s+NOT\s+EXISTS\s+)?([^\s(]+)\s*\((.*)\)\s*$", sql, re.I | re.S)
-        if not m:
-            raise StatementError(f"unsupported statement: {sql}")
-        name, pk, fields = identifier(m[2]), "", []
-        for d in lexer.split_on(m[3], ","):
-            if p := re.match(r"PRIMARY\s+KEY\s*\((.*)\)", d, re.I | re.S):
-                keys = lexer.split_on(p[1], ",")
-                if len(keys) != 1:
-                    raise CatalogError("a primary key is one column")
-                pk = identifier(keys[0])
-                continue
-            words = d.split()
-            if len(words) < 2:
-                raise StatementError(f"not a column: {d}")
-            column, rest = identifier(words[0]), d.upper()
-            fields.append(T.StructField(column, spark_type(words[1]), "NOT NULL" not in rest))
-            if "PRIMARY KEY" in rest:
-                pk = column
-        made = TableDef(name, T.StructType(fields), pk)
-        if name in self._tables:
-            if not m[1]:
-                raise CatalogError(f"there is a table {name}")
+    def _create_table(self, s: grammar.Table) -> Result:
+        made = TableDef(s.name, T.StructType([T.StructField(c, spark_type(kind), nullable) for c, kind, nullable in s.columns]), s.primary_key)
+        if s.name in self._tables:
+            if not s.lenient:
+                raise CatalogError(f"there is a table {s.name}")
             return Result("CREATE TABLE")
-        self._tables[name] = made
-        self._touched.add(name)
+        self._tables[s.name] = made
+        self._touched.add(s.name)
         return Result("CREATE TABLE")
 
-    def _drop_table(self, sql: str) -> Result:
-        m = re.match(r"DROP\s+TABLE\s+(IF\s+EXISTS\s+)?(\S+)\s*$", sql, re.I)
-        if not m:
-            raise StatementError(f"unsupported statement: {sql}")
-        name = identifier(m[2])
-        if name in self._tables:
-            del self._tables[name]
-            self._touched.add(name)
-            self._dropped.add(name)
-        elif not m[1]:
-            raise CatalogError(f"there is no table {name}")
-        return Result("DROP TABLE")
-
-    def _create_index(self, sql: str) -> Result:
-        m = re.match(r"CREATE\s+(UNIQUE\s+)?INDEX\s+(IF\s+NOT\s+EXISTS\s+)?(\S+)\s+ON\s+([^\s(]+)\s*\((.*)\)\s*$", sql, re.I | re.S)
-        if not m:
-            raise StatementError(f"unsupported statement: {sql}")
-        name, t = identifier(m[3]), self._table(identifier(m[4]))
-        if m[2] and name in t.indexes:
+    def _drop(self, s: grammar.Drop) -> Result:
+        tag = f"DROP {s.what.upper()}"
+        if s.what == "table":
+            if s.name in self._tables:
+                del self._tables[s.name]
+                self._touched.add(s.name)
+                self._dropped.add(s.name)
+                return Result(tag)
+        else:
+            for _, t in sorted(self._tables.items()):
+                if t.indexes.pop(s.name, None):
+                    self._touched.add(t.name)
+                    return Result(tag)
+        if not s.lenient:
+            raise CatalogError(f"there is no {s.what} {s.name}")
+        return Result(tag)
+
+    def _create_index(self, s: grammar.Index) -> Result:
+        t = self._table(s.table)
+        if s.lenient and s.name in t.indexes:
             return Result("CREATE INDEX")
-        index = IndexDef(name, [identifier(c) for c in lexer.split_on(m[5], ",")], bool(m[1]))
-        if not index.columns:
-            raise StatementError("an index needs a column")
+        index = IndexDef(s.name, s.columns, s.unique)
         t.add_index(index)
         if index.unique and not indexes.violations(self.store.view(t), index.columns).isEmpty():
-            del t.indexes[name]
-            raise dml.ConstraintError(f"rows of {t.name} clash in {name}")
+            del t.indexes[s.name]
+            raise dml.ConstraintError(f"rows of {t.name} clash in {s.name}")
+        self._write_postings(t, index)
         self._touched.add(t.name)
         return Result("CREATE INDEX")
 
-    def _drop_index(self, sql: str) -> Result:
-        m = re.match(r"DROP\s+INDEX\s+(IF\s+EXISTS\s+)?(\S+)\s*$", sql, re.I)
-        if not m:
-            raise StatementError(f"unsupported statement: {sql}")
-        name = identifier(m[2])
-        for _, t in sorted(self._tables.items()):
-            if t.indexes.pop(name, None):
-                self._touched.add(t.name)
-                return Result("DROP INDEX")
-        if not m[1]:
-            raise CatalogError(f"there is no index {name}")
-        return Result("DROP INDEX")
+    def _write_postings(self, t: TableDef, index: IndexDef) -> None:
+        view = self.store.view(t)
+        index.chunks = indexes.chunks_for(view.count())
+        self.store.write_postings(t, index, indexes.build(view, index.columns, t.primary_key, index.chunks))
 
-    def index(self, table: str, name: str) -> DataFrame:
-        """The posting lists of an index, from the table's snapshot."""
+    def _index(self, table: str, name: str) -> tuple[TableDef, IndexDef]:
         t = self._table(identifier(table))
         if identifier(name) not in t.indexes:
             raise CatalogError(f"there is no index {name}")
-        return indexes.build(self.store.view(t), t.indexes[identifier(name)].columns, t.primary_key)
+        return t, t.indexes[identifier(name)]
+
+    def index(self, table: str, name: str) -> DataFrame:
+        """The posting lists of an index as of the table's snapshot: what is written, with the keys that later batches touched filed anew."""
+        t, i = self._index(table, name)
+        view = self.store.view(t)
+        if i.path is None:
+            return indexes.build(view, i.columns, t.primary_key, i.chunks)
+        written, later = self.store.read_postings(t, i), self.store.read_log(t, after=i.built)
+        if later is None:
+            return written
+        touched = later.select(F.col(t.primary_key).alias("pk")).distinct()
+        now = indexes.entries(view, i.columns, t.primary_key).join(touched, "pk", "left_semi")
+        return indexes.refreshed(written, touched, now, i.chunks)
+
+    def find(self, table: str, name: str, value: object) -> DataFrame:
+        """Rows whose indexed columns have this value (a list for several columns).
+
+        Candidates are the keys that the written postings have under the value and the keys
+        that later batches touched; each candidate's row is checked, so what is stale does no harm.
+        """
+        t, i = self._index(table, name)
+        key, view = t.primary_key, self.store.view(t)
+        want = F.lit(value) if len(i.columns) == 1 else F.to_json(F.array(*(F.lit(str(v)) for v in value)))
+        keys, later = None, self.store.read_log(t, after=i.built if i.path else -1)
+        if i.path is not None:
+            keys = self.store.read_postings(t, i).filter(F.col("value") == want).select(F.explode("pks").alias(key))
+        if later is not None:
+            touched = later.select(key).distinct()
+            keys = touched if keys is None else keys.unionByName(touched)
+        if keys is None:
+            return view
+        return view.filter(indexes.value_of(i.columns) == want).join(keys, key, "left_semi").select(*t.schema.names)
+
+    def reindex(self, table: str, name: str) -> Result:
+        """Write an index's postings anew, from the table as it is."""
+        if self._tables is None:
+            return self._mutate(lambda: self.reindex(table, name))
+        t, i = self._index(table, name)
+        self._write_postings(t, i)
+        self._touched.add(t.name)
+        return Result("REINDEX")
 
     # rows
 
@@ -246,122 +270,122 @@ class Session:
             return F.lit(False)  # a column that is not there reads as ''
         return dml.matches(self.store.view(t), known, text=True)
 
-    def _insert(self, sql: str) -> Result:
-        m = re.match(r"INSERT\s+INTO\s+([^\s(]+)\s*(?:\(([^()]*)\))?\s*VALUES\s*(\(.*\))\s*$", sql, re.I | re.S)
-        if not m:
-            raise StatementError(f"unsupported statement: {sql}")
-        t = self._table(identifier(m[1]))
-        columns = [identifier(c) for c in lexer.split_on(m[2], ",")] if m[2] is not None else t.schema.names
-        rows = []
-        for group in lexer.split_on(m[3], ","):
-            values = [lexer.literal(v) for v in lexer.split_on(group[1:-1], ",")]
-            if len(values) != len(columns):
-                raise StatementError(f"{len(columns)} columns but {len(values)} values")
-            rows.append(values)
-        return self.insert_rows(t.name, self.spark.createDataFrame(rows, T.StructType([T.StructField(c, T.StringType()) for c in columns])))
+    def _insert(self, s: grammar.Insert) -> Result:
+        t = self._table(s.table)
+        columns = s.columns if s.columns is not None else t.schema.names
+        if s.query is not None:
+            rows = self._query(s.query)
+            if len(rows.columns) != len(columns):
+                raise StatementError(f"{len(columns)} columns but {len(rows.columns)} values")
+            return self.insert_rows(t.name, rows.toDF(*columns))
+        for r in s.rows:
+            if len(r) != len(columns):
+                raise StatementError(f"{len(columns)} columns but {len(r)} values")
+        return self.insert_rows(t.name, self.spark.createDataFrame(s.rows, T.StructType([T.StructField(c, T.StringType()) for c in columns])))
 
     def insert_rows(self, name: str, rows: DataFrame) -> Result:
-        """Insert a DataFrame of any size; values are cast to the columns' types, and those that can't be are an error."""
+        """Insert a DataFrame of any size; values are cast to the columns' types, and those that can't be are an error.
+
+        The rows are computed once, into a batch that is checked before anything names it.
+        """
         if self._tables is None:
-            return self._mutate(lambda _: self.insert_rows(name, rows), "")
+            return self._mutate(lambda: self.insert_rows(name, rows))
         t = self._table(identifier(name))
         if extra := set(rows.columns) - set(t.schema.names):
             raise dml.ConstraintError(f"{t.name} has no column {', '.join(sorted(extra))}")
         typed = {c: F.expr(f"try_cast(`{c}` AS {t.schema[c].dataType.simpleString()})") for c in rows.columns}
-        if not rows.filter(" OR ".join(f"(`{c}` IS NOT NULL AND try_cast(`{c}` AS {t.schema[c].dataType.simpleString()}) IS NULL)" for c in rows.columns)).isEmpty():
-            raise dml.ConstraintError("a value does not have its column's type")
-        new = rows.select(*(v.alias(c) for c, v in typed.items()))
-        new = new.withColumns({f.name: F.lit(None).cast(f.dataType) for f in t.schema if f.name not in rows.columns}).select(*t.schema.names)
-        self._check(t, new, self.store.view(t))
-        count = new.count()
-        self.store.write_batch(t, new, "A", self._next(t))
+        lost = F.lit(False)
+        for c, v in typed.items():
+            lost = lost | (F.col(c).isNotNull() & v.isNull())
+        new = rows.select(*(v.alias(c) for c, v in typed.items()), lost.alias("_lost"))
+        new = new.withColumns({f.name: F.lit(None).cast(f.dataType) for f in t.schema if f.name not in rows.columns})
+        others = self.store.view(t)
+        written = self.store.write_batch(t, new, "A", t.last() + 1, "_lost")
+        try:
+            need = [f.name for f in t.schema if not f.nullable]
+            facts = written.agg(F.count("*").alias("n"), F.count_if("_lost").alias("lost"), F.count_if(F.greatest(*(F.col(c).isNull() for c in need), F.lit(False))).alias("null")).first()
+            if facts["lost"]:
+                raise dml.ConstraintError("a value does not have its column's type")
+            if facts["null"]:
+                raise dml.ConstraintError(f"null in one of {', '.join(need)}")
+            self._unique(t, written, others, [("primary key", [t.primary_key]), *((i.name, i.columns) for i in t.indexes.values() if i.unique)])
+        except Exception:
+            self.store.forget_batch(t)
+            raise
         self._touched.add(t.name)
-        return Result(f"INSERT 0 {count}")
-
-    def _check(self, t: TableDef, new: DataFrame, others: DataFrame) -> None:
-        """Constraints of rows that come beside ``others``."""
-        need = [f.name for f in t.schema if not f.nullable]
-        if not new.filter(" OR ".join(f"`{c}` IS NULL" for c in need)).isEmpty():
-            raise dml.ConstraintError(f"null in one of {', '.join(need)}")
-        for what, columns in [("primary key", [t.primary_key]), *((i.name, i.columns) for i in t.indexes.values() if i.unique)]:
-            full = new.dropna(subset=columns)
-            if not dml.repeated(full, columns).isEmpty() or not dml.duplicates(others, full, columns).isEmpty():
-                raise dml.ConstraintError(f"a value of {what} exists: {t.name}")
+        return Result(f"INSERT 0 {facts['n']}")
 
-    def _next(self, t: TableDef) -> int:
-        return max([s for _, s, _ in t.batches], default=0) + 1
+    def _unique(self, t: TableDef, new: DataFrame, others: DataFrame, rules: list[tuple[str, list[str]]]) -> None:
+        """Whether ``new`` can stand beside ``others``."""
+        for what, columns in rules:
+            full = new.dropna(subset=columns).select(*columns)
+            if not dml.repeated(full, columns).select(*columns).unionByName(dml.duplicates(others, full, columns)).isEmpty():
+                raise dml.ConstraintError(f"a value of {what} exists: {t.name}")
 
-    def _update(self, sql: str) -> Result:
-        m = re.match(r"UPDATE\s+(\S+)\s+SET\s+(.*)$", sql, re.I | re.S)
-        if not m:
-            raise StatementError(f"unsupported statement: {sql}")
-        t = self._table(identifier(m[1]))
-        sets, where = _cut_where(m[2])
+    def _update(self, s: grammar.Update) -> Result:
+        t = self._table(s.table)
         values: dict[str, Column] = {}
-        for part in lexer.split_on(sets, ","):
-            left, mark, right = part.partition("=")
-            if not mark:
-                raise StatementError(f"not an assignment: {part}")
-            plain = self.text_equality or lexer.is_literal(right)
-            values[identifier(left)] = F.lit(lexer.literal(right)) if plain else F.expr(right)
+        for column, text in s.sets:
+            plain = self.text_equality or lexer.is_literal(text)
+            values[column] = F.lit(lexer.literal(text)) if plain else F.expr(text)
         view = self.store.view(t)
-        hit = view.filter(self._condition(t, where))
-        new = dml.update(hit, values, key=t.primary_key)
+        new = dml.update(view.filter(self._condition(t, s.where)), values, key=t.primary_key)
         return self._change(t, view, new, "UPDATE", values)
 
-    def _delete(self, sql: str) -> Result:
-        m = re.match(r"DELETE\s+FROM\s+(\S+)\s*(?:WHERE\s+(.*))?$", sql, re.I | re.S)
-        if not m:
-            raise StatementError(f"unsupported statement: {sql}")
-        t = self._table(identifier(m[1]))
+    def _delete(self, s: grammar.Delete) -> Result:
+        t = self._table(s.table)
         view = self.store.view(t)
-        return self._change(t, view, view.filter(self._condition(t, m[2])), "DELETE", {})
+        return self._change(t, view, view.filter(self._condition(t, s.where)), "DELETE", {})
 
     def _change(self, t: TableDef, view: DataFrame, rows: DataFrame, verb: str, values: dict) -> Result:
-        op = "P" if verb == "UPDATE" else "D"
-        count = rows.count()
-        if count and op == "P":
-            unique = [i for i in t.indexes.values() if i.unique and set(i.columns) & set(values)]
+        written = self.store.write_batch(t, rows.withColumn("_op", F.lit("P" if verb == "UPDATE" else "D")), "U", t.last() + 1)
+        try:
             need = [f.name for f in t.schema if not f.nullable and f.name in values]
-            if need and not rows.filter(" OR ".join(f"`{c}` IS NULL" for c in need)).isEmpty():
+            facts = written.agg(F.count("*").alias("n"), F.count_if(F.greatest(*(F.col(c).isNull() for c in need), F.lit(False), F.lit(False))).alias("null")).first()
+            if facts["null"]:
                 raise dml.ConstraintError(f"null in one of {', '.join(need)}")
-            rest = view.join(rows.select(t.primary_key), t.primary_key, "left_anti") if unique else view
-            for i in unique:
-                full = rows.dropna(subset=i.columns)
-                if not dml.repeated(full, i.columns).isEmpty() or not dml.duplicates(rest, full, i.columns).isEmpty():
-                    raise dml.ConstraintError(f"a value of {i.name} exists: {t.name}")
-        if count:
-            self.store.write_batch(t, rows.withColumn("_op", F.lit(op)), "U", self._next(t))
+            unique = [(i.name, i.columns) for i in t.indexes.values() if i.unique and set(i.columns) & set(values)]
+            if facts["n"] and unique:
+                self._unique(t, written, view.join(written.select(t.primary_key), t.primary_key, "left_anti"), unique)
+        except Exception:
+            self.store.forget_batch(t)
+            raise
+        if facts["n"]:
             self._touched.add(t.name)
-        return Result(f"{verb} {count}")
+        else:
+            self.store.forget_batch(t)
+        return Result(f"{verb} {facts['n']}")
+
+    _DO = {grammar.Table: _create_table, grammar.Index: _create_index, grammar.Drop: _drop, grammar.Insert: _insert, grammar.Update: _update, grammar.Delete: _delete}
 
     def _select(self, sql: str, words: list[str]) -> Result:
         if "FROM" not in (w.upper() for w in words):
             return Result("SELECT 1", literal_select(self.spark, sql.strip()[6:].strip()))
-        names = [n for n in lexer.table_names(sql) if n in self.tables()]
-        missing = [n for n in lexer.table_names(sql) if n not in names]
-        if missing and not self.spark.catalog.tableExists(missing[0]):
-            raise CatalogError(f"there is no table {missing[0]}")
-        if self.text_equality and len(names) == 1 and (m := re.match(r"SELECT\s+(.*?)\s+FROM\s+\S+\s+WHERE\s+(.*)$", sql.strip(), re.I | re.S)):
-            t = self._table(names[0])
-            columns = t.schema.names if m[1] == "*" else [identifier(c) for c in lexer.split_on(m[1], ",")]
+        plain = grammar.plain_select(sql)
+        if plain and plain.table not in self.tables() and not self.spark.catalog.tableExists(plain.table):
+            raise CatalogError(f"there is no table {plain.table}")
+        if self.text_equality and plain and plain.where and plain.table in self.tables():
+            t = self._table(plain.table)
+            columns = t.schema.names if plain.columns == "*" else [identifier(c) for c in lexer.split_on(plain.columns, ",")]
             if unknown := [c for c in columns if c not in t.schema.names]:
                 raise CatalogError(f"{t.name} has no column {unknown[0]}")
-            return Result("SELECT", self.store.view(t).filter(self._condition(t, m[2])).select(*columns))
-        for n in names:
-            self.store.view(self._table(n)).createOrReplaceTempView(n)
-        out = self.spark.sql(sql)
-        if names and re.fullmatch(r"SELECT\s+.*\s+FROM\s+\S+", sql.strip(), re.I | re.S) and self._table(names[0]).primary_key in out.columns:
-            out = out.orderBy(self._table(names[0]).primary_key)
+            return Result("SELECT", self.store.view(t).filter(self._condition(t, plain.where)).select(*columns))
+        out = self._query(sql)
+        if plain and not plain.where and plain.table in self.tables() and self._table(plain.table).primary_key in out.columns:
+            out = out.orderBy(self._table(plain.table).primary_key)
         return Result("SELECT", out)
 
-
-def _cut_where(text: str) -> tuple[str, str | None]:
-    """What stands before and after a top-level WHERE."""
-    out, depth, parts = [""], 0, list(lexer.pieces(text))
-    for k, p in enumerate(parts):
-        depth += (p == "(") - (p == ")")
-        if depth <= 0 and p.upper() == "WHERE":
-            return out[0].strip(), "".join(parts[k + 1 :]).strip()
-        out[0] += p
-    return out[0].strip(), None
+    def _query(self, sql: str) -> DataFrame:
+        """A query over snapshot views. The views stand only while the query is analysed; a temporary view of the caller's that has such a name comes back after."""
+        names = [n for n in lexer.table_names(sql) if n in self.tables()]
+        kept = {n: self.spark.table(n) for n in names if any(v.isTemporary for v in self.spark.catalog.listTables(pattern=n))}
+        try:
+            for n in names:
+                self.store.view(self._table(n)).createOrReplaceTempView(n)
+            return self.spark.sql(sql)
+        finally:
+            for n in names:
+                if n in kept:
+                    kept[n].createOrReplaceTempView(n)
+                else:
+                    self.spark.catalog.dropTempView(n)

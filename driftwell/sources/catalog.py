@@ -14,9 +14,14 @@ class CatalogError(ValueError):
 
 @dataclass
 class IndexDef:
+    """``path`` holds the posting lists of the table as of batch ``built``, each value's in ``chunks`` parts; None before they are written."""
+
     name: str
     columns: list[str]
     unique: bool = False
+    path: str | None = None
+    built: int = 0
+    chunks: int = 1
 
 
 @dataclass
@@ -50,6 +55,10 @@ class TableDef:
     def covering(self, column: str) -> list[IndexDef]:
         return [i for i in self.indexes.values() if column in i.columns]
 
+    def last(self) -> int:
+        """The number of the newest batch."""
+        return max((s for _, s, _ in self.batches), default=0)
+
     def to_json(self) -> dict:
         return {"name": self.name, "schema": json.loads(self.schema.json()), "primary_key": self.primary_key, "indexes": [vars(i) for i in self.indexes.values()], "batches": self.batches}
 

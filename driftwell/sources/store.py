@@ -15,12 +15,13 @@ from __future__ import annotations
 
 import json
 import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import snapshot
-from .catalog import CatalogError, TableDef
+from .catalog import CatalogError, IndexDef, TableDef
 
 
 class ConflictError(RuntimeError):
@@ -89,21 +90,41 @@ class Store:
             return False
         return True
 
-    def write_batch(self, table: TableDef, rows: DataFrame, kind: str, seq: int) -> None:
-        """Write rows (all columns, and ``_op`` for kind "U") as a batch; nothing sees it before a manifest names it.
+    def write_batch(self, table: TableDef, rows: DataFrame, kind: str, seq: int, *more: str) -> DataFrame:
+        """Write rows (all columns, ``_op`` for kind "U", and ``more``) as a batch and read it back; nothing sees it before a manifest names it.
 
-        Row groups carry a Bloom filter of the primary key, which point reads skip by.
+        ``rows`` is computed once: checks and counts go over what was written. Row groups carry
+        a Bloom filter of the primary key, which point reads skip by.
         """
         path = f"{table.name}/{seq:020d}-{uuid.uuid4().hex}"
         if kind == "A":
             rows = rows.withColumn("_op", F.lit("P"))
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema]
-        rows.select(*columns, "_op", F.lit(seq).cast("long").alias("_seq")).write.option(f"parquet.bloom.filter.enabled#{table.primary_key}", "true").parquet(f"{self.root}/{path}")
+        out = rows.select(*columns, "_op", F.lit(seq).cast("long").alias("_seq"), *more)
+        out.write.option(f"parquet.bloom.filter.enabled#{table.primary_key}", "true").parquet(f"{self.root}/{path}")
         table.batches.append([kind, seq, path])
-
-    def read_log(self, table: TableDef, kinds: str = "AU") -> DataFrame | None:
+        return self.spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])).parquet(f"{self.root}/{path}")
+
+    def forget_batch(self, table: TableDef) -> None:
+        """Take back the batch written last, which no manifest names yet."""
+        _, _, path = table.batches.pop()
+        self._fs.delete(self._path(path), True)
+
+    def write_postings(self, table: TableDef, index: IndexDef, postings: DataFrame) -> None:
+        """Write an index's posting lists, each value's chunks side by side, so that a lookup's filter skips the row groups of other values."""
+        path = f"{table.name}/_index/{index.name}-{uuid.uuid4().hex}"
+        postings.repartitionByRange("value", "part").sortWithinPartitions("value", "part").write.parquet(f"{self.root}/{path}")
+        index.path, index.built = path, table.last()
+
+    def read_postings(self, table: TableDef, index: IndexDef) -> DataFrame:
+        kind = table.schema[index.columns[0]].dataType if len(index.columns) == 1 else T.StringType()
+        schema = T.StructType([T.StructField("value", kind), T.StructField("part", T.IntegerType()), T.StructField("pks", T.ArrayType(table.schema[table.primary_key].dataType))])
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{index.path}")
+
+    def read_log(self, table: TableDef, kinds: str = "AU", after: int = -1) -> DataFrame | None:
+        """The batches of these kinds that came after batch ``after``; None if there are none."""
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in table.schema] + [T.StructField("_op", T.StringType()), T.StructField("_seq", T.LongType())])
-        paths = [f"{self.root}/{p}" for k, _, p in table.batches if k in kinds]
+        paths = [f"{self.root}/{p}" for k, s, p in table.batches if k in kinds and s > after]
         return self.spark.read.schema(schema).parquet(*paths) if paths else None
 
     def view(self, table: TableDef) -> DataFrame:
@@ -127,8 +148,7 @@ class Store:
             raise CatalogError(f"there is no table {name}")
         t = tables[name]
         rows = self.view(TableDef.from_json(t.to_json()))
-        seq = max([s for _, s, _ in t.batches], default=0)
-        t.batches = []
+        seq, t.batches = t.last(), []
         self.write_batch(t, rows, "A", seq)
         return self.publish(tables, since, {name})
 
@@ -136,6 +156,10 @@ class Store:
         """Compact a table that has more than so many batches; None if it has not."""
         return self.compact(name) if len(self.tables()[name].batches) > runs else None
 
+    def count(self, name: str) -> int:
+        """Live rows of a table."""
+        return self.view(self.tables()[name]).count()
+
     def problems(self, name: str) -> DataFrame:
         """(key, problem) of what a sound table does not have: live keys that are null or occur twice, and changes of kind "U" to a key before its first insert."""
         t = self.tables()[name]
