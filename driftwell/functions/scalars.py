@@ -13,12 +13,13 @@ def as_text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-def typed_order(c: Column) -> list[Column]:
-    """Sort keys of a primary key that may hold numbers as text: numbers by value, then text by code point.
+def typed_order(c: Column, kind: str = "bigint") -> list[Column]:
+    """Sort keys of a primary key that may hold values as text: what parses as ``kind`` by value, then text by code point.
 
-    Numbers up to 2^63 sort by value; what does not parse comes after them.
+    ``kind`` is bigint, double or boolean (false before true); space around a value does not count.
     """
-    return [c.try_cast("bigint").isNull(), c.try_cast("bigint"), c.cast("string")]
+    value = F.trim(c.cast("string")).try_cast(kind)
+    return [value.isNull(), value, c.cast("string")]
 
 
 def floor_rank(c: Column, p: float) -> Column:
@@ -66,6 +67,37 @@ def bloom_hashes(bits: Column, items: Column) -> Column:
     return F.greatest(F.round(bits.cast("double") / n * F.log(F.lit(2.0))), F.lit(1)).cast("int")
 
 
+# The 64-bit FNV-1a hash starts from this number and multiplies by 2^40 + 435.
+FNV_START, FNV_SHIFT, FNV_REST = 0xCBF29CE484222325, 40, 435
+
+
+def fnv1a(c: Column) -> Column:
+    """The 64-bit FNV-1a hash of a text's bytes, as a struct of its lower and upper 32 bits; the empty text for null.
+
+    The halves are kept apart in longs, so no step overflows.
+    """
+    m = (1 << 32) - 1
+    h = F.hex(F.coalesce(c.cast("string"), F.lit("")).cast("binary"))
+    size = (F.length(h) / 2).cast("int")
+    each = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    codes = F.transform(each, lambda i: F.conv(F.substring(h, 2 * i + 1, F.lit(2)), 16, 10).cast("bigint"))
+
+    def step(s: Column, b: Column) -> Column:
+        low = s["low"].bitwiseXOR(b)
+        up = low * FNV_REST
+        high = s["high"] * FNV_REST + F.shiftrightunsigned(up, 32) + F.shiftleft(low, FNV_SHIFT - 32)
+        return F.struct(up.bitwiseAND(F.lit(m)).alias("low"), high.bitwiseAND(F.lit(m)).alias("high"))
+
+    start = F.struct(F.lit(FNV_START & m).cast("bigint").alias("low"), F.lit(FNV_START >> 32).cast("bigint").alias("high"))
+    return F.aggregate(codes, start, step)
+
+
+def bloom_positions(c: Column, bits: Column, hashes: Column) -> Column:
+    """The bits that a value sets: the lower half of its hash plus 0, 1, 2, ... times the upper half."""
+    h = fnv1a(c)
+    return F.transform(F.sequence(F.lit(0), hashes - 1), lambda i: F.pmod(h["low"] + i * h["high"], bits))
+
+
 def bloom_budget(items: Column, level: Column, levels: Column, total_bits: Column, weight_sum: Column, growth: float = GROWTH, decay: float = DECAY) -> Column:
     """Bits of a level's filter when levels share ``total_bits`` by weight; ``weight_sum`` is the sum of ``bloom_weight`` over levels."""
     return F.when(weight_sum > 0, F.round(bloom_weight(items, level, levels, growth, decay) / weight_sum * total_bits)).otherwise(0).cast("long")

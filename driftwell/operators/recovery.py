@@ -31,6 +31,12 @@ def redo(log: DataFrame, page: str = "k", lsn: str = "lsn", after: str = "v") ->
     return log.groupBy(page).agg(F.max_by(after, lsn).alias("after"), F.max(lsn).alias("page_lsn"))
 
 
+def redo_lists(log: DataFrame, states: DataFrame, aborted: str = "A", lsn: str = "lsn", txn: str = "txn", chunk: int = 1_000_000) -> DataFrame:
+    """(txn, part, lsns): the records to redo of each transaction that was not aborted, in order; a part spans ``chunk`` lsns, so a row is bounded."""
+    kept = log.join(states.filter(F.col("state") == aborted).select(txn), txn, "left_anti")
+    return kept.groupBy(txn, F.floor(F.col(lsn) / chunk).alias("part")).agg(F.sort_array(F.collect_list(lsn)).alias("lsns"))
+
+
 def before_images(log: DataFrame, page: str = "k", lsn: str = "lsn", after: str = "v") -> DataFrame:
     """Each record with the value that it overwrote."""
     return log.withColumn("before", F.lag(after).over(Window.partitionBy(page).orderBy(lsn)))

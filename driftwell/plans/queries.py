@@ -7,15 +7,14 @@ commits it, error aborts it, anything else leaves it in flight.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import dml, graph, indexes, latency, recovery, replication, snapshot
-from ..sources import seeds
+from ..operators import bloom, dml, graph, indexes, latency, recovery, replication, snapshot
+from ..sources import place, seeds
 from . import session
 
 KEY = 7
@@ -103,9 +102,10 @@ def q09_literal_select(spark, d):
 @query("SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS typed, row_number() OVER (ORDER BY CAST(c_custkey AS VARCHAR)) AS lexical FROM customer")
 def q10_pk_typed_vs_lexical_order(spark, d):
     c = read(spark, d, "customer").select("c_custkey")
-    text = F.col("c_custkey").cast("string")
-    typed = snapshot.ranked(c, F.floor(F.col("c_custkey") / 4096), scalars.typed_order(text), "typed")
-    return snapshot.ranked(typed, F.substring(text, 1, 3), [text], "lexical")
+    text, rows = F.col("c_custkey").cast("string"), 100_000  # of a bucket, about
+    typed = snapshot.ranked(c, F.floor(F.col("c_custkey") / rows), scalars.typed_order(text), "typed")
+    digits = max(2, len(str(c.count() // rows)) + 1)  # so that prefixes are about as many as buckets
+    return snapshot.ranked(typed, F.substring(text, 1, digits), [text], "lexical")
 
 
 # changes
@@ -198,14 +198,6 @@ def q22_range_scan(spark, d):
     return snapshot.key_range(read(spark, d, "orders"), "o_orderkey", 100, 200).select("o_orderkey", "o_orderstatus")
 
 
-@query("""
-SELECT 'nation' AS table_name, CAST(n_nationkey AS VARCHAR) AS key FROM nation UNION ALL SELECT 'region', CAST(r_regionkey AS VARCHAR) FROM region
-UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR) FROM supplier
-""")
-def q23_whole_db_scan(spark, d):
-    return snapshot.whole_database({t: (read(spark, d, t), k) for t, k in (("nation", "n_nationkey"), ("region", "r_regionkey"), ("supplier", "s_suppkey"))})
-
-
 #: Every table and what names its rows.
 KEYS = {
     "benchmark": "item_id", "conversations": ["conv_id", "turn"], "customer": "c_custkey", "documents": "doc_id", "embeddings": "vec_id", "events": "event_id", "labels": "doc_id",
@@ -222,7 +214,7 @@ UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR) FROM nation UNION ALL SE
 UNION ALL SELECT 'pages', CAST(page_id AS VARCHAR) FROM pages UNION ALL SELECT 'part', CAST(p_partkey AS VARCHAR) FROM part
 UNION ALL SELECT 'region', CAST(r_regionkey AS VARCHAR) FROM region UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR) FROM supplier
 """)
-def q23b_whole_db_scan_all_tables(spark, d):
+def q23_whole_db_scan(spark, d):
     return snapshot.whole_database({t: (read(spark, d, t), k) for t, k in KEYS.items()})
 
 
@@ -303,33 +295,19 @@ def q34_iteration_delta(spark, d):
 
 def _edges(spark, d) -> DataFrame:
     """A user whose event failed waits for the user whose event failed before it in the same transaction."""
-    from pyspark.sql import Window
-
     failed = log(spark, d).filter("ty = 'error'")
     before = F.lag("k").over(Window.partitionBy("txn").orderBy("lsn"))
     return failed.select(F.col("k").alias("waiter"), before.alias("holder")).filter("holder IS NOT NULL")
 
 
-@query(f"""
-WITH {LOG}, p AS (SELECT k AS w, lag(k) OVER (PARTITION BY txn ORDER BY lsn) AS h FROM l WHERE ty = 'error'),
-e AS (SELECT DISTINCT w, h FROM p WHERE h IS NOT NULL)
-SELECT DISTINCT a.w AS node FROM e a LEFT JOIN e b ON a.h = b.w LEFT JOIN e c ON b.h = c.w WHERE a.w = a.h OR a.w = b.h OR a.w = c.h
-""")
-def q35_wait_for_cycle(spark, d):
-    return graph.in_cycles(_edges(spark, d), longest=3)
-
-
 @query(f"""
 WITH RECURSIVE {LOG}, p AS (SELECT k AS w, lag(k) OVER (PARTITION BY txn ORDER BY lsn) AS h FROM l WHERE ty = 'error'),
 e AS (SELECT DISTINCT w, h FROM p WHERE h IS NOT NULL),
 r AS (SELECT w, h FROM e UNION SELECT r.w, e.h FROM r JOIN e ON r.h = e.w)
 SELECT w AS node FROM r WHERE w = h
 """)
-def q35b_wait_for_any_cycle(spark, d):
-    if not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="driftwell-"))
+def q35_wait_for_cycle(spark, d):
+    place.checkpoints(spark)
     return graph.in_cycles(_edges(spark, d))
 
 
@@ -338,13 +316,29 @@ def q36_read_your_writes(spark, d):
     return recovery.read_own_writes(log(spark, d), seq="lsn", write=F.col("ty") == "purchase").select("lsn", "k", "seen")
 
 
-@query("""
-WITH t AS (SELECT * FROM (VALUES (300), (5000), (70000), (900000)) v(items)),
-n AS (SELECT items, CASE WHEN items <= 400 THEN 1 ELSE greatest(1, ceil(sqrt(abs(ln(items / 1000.0) / ln(2.0))))) END AS levels FROM t)
-SELECT items, CAST(levels AS INTEGER) AS levels, CAST(round(4.0 * pow(10.0 * pow(2.0, levels), 1.0) * pow(0.5, 1.0)) AS BIGINT) AS capacity1 FROM n
+#: Tables of rising size, as the levels of a merge tree.
+LEVELS = ("region", "supplier", "customer", "orders", "lineitem")
+
+
+def _sizes(spark, d) -> DataFrame:
+    """(name, level, items) of each of them."""
+    each = [read(spark, d, t).agg(F.lit(t).alias("name"), F.lit(n).alias("level"), F.count("*").alias("items")) for n, t in enumerate(LEVELS)]
+    out = each[0]
+    for e in each[1:]:
+        out = out.unionByName(e)
+    return out
+
+
+SIZES = "t AS (" + " UNION ALL ".join(f"SELECT '{t}' AS name, {n} AS level, count(*) AS items FROM {t}" for n, t in enumerate(LEVELS)) + ")"
+
+
+@query(f"""
+WITH {SIZES},
+n AS (SELECT name, items, CASE WHEN items <= 400 THEN 1 ELSE greatest(1, ceil(sqrt(abs(ln(items / 1000.0) / ln(2.0))))) END AS levels FROM t)
+SELECT name, items, CAST(levels AS INTEGER) AS levels, CAST(round(4.0 * pow(10.0 * pow(2.0, levels), 1.0) * pow(0.5, 1.0)) AS BIGINT) AS capacity1 FROM n
 """)
 def q37_compaction_policy(spark, d):
-    n = spark.createDataFrame([(300,), (5000,), (70000,), (900000,)], "items int").withColumn("levels", scalars.level_count(F.col("items")))
+    n = _sizes(spark, d).select("name", "items").withColumn("levels", scalars.level_count(F.col("items")))
     return n.withColumn("capacity1", scalars.level_capacity(F.lit(1), F.col("levels")))
 
 
@@ -380,18 +374,18 @@ def q42_index_validate(spark, d):
     return indexes.validate(indexes.build(c.filter("c_mktsegment <> 'BUILDING'"), ["c_mktsegment"], "c_custkey", indexes.CHUNKS), c, ["c_mktsegment"], "c_custkey")
 
 
-@query("""
-WITH l AS (SELECT * FROM (VALUES (0, 40), (1, 900), (2, 0), (3, 250000)) v(level, items)),
-w AS (SELECT *, items * pow(0.5, (3 - level) * (4 - level) / 2.0) / pow(10.0, 3 - level) AS weight FROM l)
+@query(f"""
+WITH {SIZES},
+w AS (SELECT *, items * pow(0.5, (4 - level) * (5 - level) / 2.0) / pow(10.0, 4 - level) AS weight FROM t)
 SELECT level, items, CAST(round(weight / (SELECT sum(weight) FROM w) * 8388608) AS BIGINT) AS bits,
-       CASE WHEN level = 3 THEN 1.0 ELSE greatest(0.0001, pow(0.5, (3 - level) * (2 - level) / 2.0) / pow(10.0, 3 - level)) END::DOUBLE AS rate
+       CASE WHEN level = 4 THEN 1.0 ELSE greatest(0.0001, pow(0.5, (4 - level) * (3 - level) / 2.0) / pow(10.0, 4 - level)) END::DOUBLE AS rate
 FROM w
 """)
 def q43_bloom_budget(spark, d):
-    levels = spark.createDataFrame([(0, 40), (1, 900), (2, 0), (3, 250000)], "level int, items int")
-    weights = levels.agg(F.sum(scalars.bloom_weight(F.col("items"), F.col("level"), F.lit(4))).alias("total"))
+    levels, n = _sizes(spark, d), F.lit(len(LEVELS))
+    weights = levels.agg(F.sum(scalars.bloom_weight(F.col("items"), F.col("level"), n)).alias("total"))
     # one row of totals
-    return levels.join(F.broadcast(weights)).select("level", "items", scalars.bloom_budget(F.col("items"), F.col("level"), F.lit(4), F.lit(8388608), F.col("total")).alias("bits"), scalars.bloom_rate(F.col("level"), F.lit(4)).alias("rate"))
+    return levels.join(F.broadcast(weights)).select("level", "items", scalars.bloom_budget(F.col("items"), F.col("level"), n, F.lit(8388608), F.col("total")).alias("bits"), scalars.bloom_rate(F.col("level"), n).alias("rate"))
 
 
 @query("""
@@ -409,6 +403,48 @@ def q45_committed_operations(spark, d):
     return rows.join(states(rows).filter("state = 'C'"), "txn", "left_semi").filter("ty = 'view'").select("lsn", "txn", "k")
 
 
+@query(f"WITH {STATES} SELECT l.txn, lsn // 1000000 AS part, count(*) AS n, string_agg(CAST(lsn AS VARCHAR), ',' ORDER BY lsn) AS lsns FROM l JOIN s ON l.txn = s.txn WHERE state <> 'A' GROUP BY l.txn, lsn // 1000000")
+def q46_redo_lists(spark, d):
+    rows = log(spark, d)
+    lists = recovery.redo_lists(rows, states(rows))
+    return lists.select("txn", "part", F.size("lsns").cast("long").alias("n"), F.array_join(F.col("lsns").cast("array<string>"), ",").alias("lsns"))
+
+
+# indexes as bytes, and filters
+
+@query("""
+SELECT c_nationkey AS value, printf('%08X', count(*)) || string_agg(printf('%08X', length(CAST(c_custkey AS VARCHAR))) || hex(CAST(c_custkey AS VARCHAR)), '' ORDER BY c_custkey) AS entry, count(*) AS n
+FROM customer GROUP BY c_nationkey
+""")
+def q47_posting_codec(spark, d):
+    coded = indexes.encoded(indexes.build(read(spark, d, "customer"), ["c_nationkey"], "c_custkey"))
+    back = indexes.decoded(coded).select("value", F.size("pks").cast("long").alias("n"))
+    return coded.select("value", F.hex("entry").alias("entry")).join(back, "value")
+
+
+FNV = "list_reduce(list_prepend(14695981039346656037::HUGEINT, [ord(c)::HUGEINT FOR c IN string_split({}, '')]), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
+
+
+@query(f"SELECT s_suppkey, CAST(h % 4294967296 AS BIGINT) AS low, CAST(h // 4294967296 AS BIGINT) AS high FROM (SELECT s_suppkey, {FNV.format('s_name')} AS h FROM supplier)")
+def q48_fnv1a(spark, d):
+    return read(spark, d, "supplier").withColumn("h", scalars.fnv1a(F.col("s_name"))).select("s_suppkey", "h.low", "h.high")
+
+
+@query(f"""
+WITH k AS (SELECT c_custkey AS key, CAST({FNV.format('CAST(c_custkey AS VARCHAR)')} AS HUGEINT) AS h FROM customer),
+n AS (SELECT CAST(ceil(count(*) * ln(0.01::DOUBLE) / ln(1.0 / pow(2.0, ln(2.0)))) AS BIGINT) AS bits, count(*) AS items FROM k WHERE key % 2 = 0),
+z AS (SELECT bits, CAST(round(bits / CAST(items AS DOUBLE) * ln(2.0)) AS BIGINT) AS hashes FROM n),
+p AS (SELECT key, unnest([(h % 4294967296 + i * (h // 4294967296)) % bits FOR i IN range(hashes)]) AS pos FROM k, z),
+s AS (SELECT DISTINCT pos FROM p WHERE key % 2 = 0)
+SELECT p.key, bool_and(s.pos IS NOT NULL) AS maybe FROM p LEFT JOIN s ON p.pos = s.pos GROUP BY p.key
+""")
+def q49_bloom_test(spark, d):
+    keys = read(spark, d, "customer").select("c_custkey")
+    own = keys.filter("c_custkey % 2 = 0")
+    size = bloom.sized(own.count())
+    return bloom.might_hold(bloom.build(own, "c_custkey", *size), keys, "c_custkey", *size)
+
+
 # beyond the reference: what SELECT gets from Spark SQL
 
 
@@ -425,8 +461,12 @@ def x02_top_k(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import stateful  # noqa: F401  registers its queries
+
     return {n: f for n, (f, _) in _all.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import stateful  # noqa: F401
+
     return {n: sql for n, (_, sql) in _all.items()}

@@ -9,9 +9,9 @@ SCHEMA = "txn long, ops array<array<string>>"
 
 
 def read_ops(spark: SparkSession, path: str) -> DataFrame:
-    """(txn, seq, f, k, v): every operation, numbered over transactions in order of txn."""
+    """(txn, seq, f, k, v): every operation; ``seq``, the pair of its transaction and its place there, orders them all."""
     ops = spark.read.schema(SCHEMA).json(path).select("txn", F.posexplode("ops").alias("nth", "op"))
-    return ops.select("txn", (F.col("txn") * 1_000_000 + F.col("nth")).alias("seq"), F.col("op")[0].alias("f"), F.col("op")[1].alias("k"), F.get("op", F.lit(2)).alias("v")).filter(F.col("f").isin("r", "w"))
+    return ops.select("txn", F.struct("txn", "nth").alias("seq"), F.col("op")[0].alias("f"), F.col("op")[1].alias("k"), F.get("op", F.lit(2)).alias("v")).filter(F.col("f").isin("r", "w"))
 
 
 def write_results(seen: DataFrame, path: str) -> None:

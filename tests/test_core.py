@@ -181,6 +181,83 @@ def test_postings(spark):
     assert sorted(r["pk"] for r in indexes.lookup_range(i, "a", "b").collect()) == [1, 2, 3]
 
 
+@pytest.mark.parametrize("chunks", [1, 7, 64])
+def test_postings_are_like_a_dict(spark, chunks):
+    rng, want = random.Random(chunks), {}
+    index = indexes.build(spark.createDataFrame([], "pk long, v string"), ["v"], "pk", chunks)
+    for turn in range(4):
+        new = [(rng.choice("abc"), rng.randrange(30)) for _ in range(25)]
+        gone = [(rng.choice("abc"), rng.randrange(30)) for _ in range(12)]
+        for v, k in new:
+            want.setdefault(v, set()).add(k)
+        for v, k in gone:
+            want.get(v, set()).discard(k)
+        made = lambda x: spark.createDataFrame(x, "value string, pk long")
+        index = indexes.remove(indexes.add(index, made(new), chunks), made(gone))
+        index = spark.createDataFrame(index.collect(), index.schema)
+        rows = index.collect()
+        assert len({(r["value"], r["part"]) for r in rows}) == len(rows) and all(r["pks"] == sorted(set(r["pks"])) for r in rows)
+        got = {}
+        for r in rows:
+            assert not got.setdefault(r["value"], set()) & set(r["pks"])
+            got[r["value"]] |= set(r["pks"])
+        assert got == {v: k for v, k in want.items() if k}
+    assert sorted(r["pk"] for r in indexes.lookup(index, "a").collect()) == sorted(want["a"])
+    assert {r["value"]: r["pks"] for r in indexes.decoded(indexes.encoded(indexes.compact(index, 1))).collect()} == {v: [str(x) for x in sorted(k)] for v, k in want.items() if k}
+    assert indexes.clear(index).count() == 0
+
+
+def test_written_postings_follow_the_table(s, spark):
+    s.execute("CREATE TABLE t (id INT PRIMARY KEY, g TEXT, n INT); INSERT INTO t VALUES (1, 'a', 1), (2, 'b', 1), (3, NULL, 1); CREATE INDEX g ON t (g); CREATE INDEX gn ON t (g, n)")
+    assert s.tables()["t"].indexes["g"].path and len(s.store.read_postings(s.tables()["t"], s.tables()["t"].indexes["g"]).collect()) == 2
+    s.execute("UPDATE t SET g = 'b' WHERE id = 1; DELETE FROM t WHERE id = 2; INSERT INTO t VALUES (4, 'a', 2), (2, 'a', 2)")
+    for _ in range(2):
+        assert sorted((r["value"], r["pks"]) for r in s.index("t", "g").collect()) == [("a", [2, 4]), ("b", [1])]
+        assert sorted(r["id"] for r in s.find("t", "g", "a").collect()) == [2, 4] and s.find("t", "g", "zzz").count() == 0
+        assert [r["id"] for r in s.find("t", "gn", ["b", 1]).collect()] == [1] and s.find("t", "gn", ["b", 2]).count() == 0
+        s.reindex("t", "g")
+        s.compact("t")
+    plan = s.find("t", "g", "a")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(value,a)" in plan
+
+
+def test_statements_that_do_not_read(s):
+    s.run("CREATE TABLE t (id INT(11) PRIMARY KEY, v VARCHAR(3) DEFAULT 'x' NOT NULL)")
+    assert [f.simpleString() for f in s.tables()["t"].schema] == ["id:bigint", "v:string"] and not s.tables()["t"].schema["v"].nullable
+    for bad in ("CREATE TABLE", "CREATE TABLE x", "CREATE TABLE x (id)", "CREATE VIEW x", "DROP t", "DROP TABLE t u", "CREATE INDEX i ON t ()", "CREATE INDEX i t (v)", "INSERT t VALUES (1, 'a')", "INSERT INTO t (1, 'a')", "INSERT INTO t VALUES (1, 'a') (2, 'b')", "INSERT INTO t VALUES (1, 'a'", "UPDATE t v = 1", "UPDATE t SET v", "DELETE t", "DELETE FROM t id = 1"):
+        with pytest.raises(StatementError):
+            s.run(bad)
+    assert s.run("insert into t values (1, 'it''s (a, b); where')").tag == "INSERT 0 1" and s.run("update t set v = 'where' where v = 'it''s (a, b); where'").tag == "UPDATE 1"
+
+
+def test_queries_with_names_of_their_own(s, spark):
+    s.execute("CREATE TABLE t (id INT PRIMARY KEY); INSERT INTO t VALUES (1), (2)")
+    spark.range(5).createOrReplaceTempView("t")
+    assert rows(s.run("WITH x AS (SELECT id FROM t WHERE id > 1) SELECT x.id FROM x JOIN t ON x.id = t.id")) == [(2,)]
+    assert spark.table("t").count() == 5
+    spark.catalog.dropTempView("t")
+    s.run("SELECT id FROM t WHERE id = 1 ORDER BY id")
+    assert not spark.catalog.tableExists("t")
+
+
+def test_insert_computes_its_rows_once(s, spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    s.execute("CREATE TABLE t (id INT PRIMARY KEY, u INT NOT NULL); CREATE UNIQUE INDEX i ON t (u)")
+    s.insert_rows("t", spark.range(100).selectExpr("id", "id + 1 AS u").mapInPandas(counted, "id long, u long"))
+    assert seen.value == 100
+    files = lambda: s.store._fs.listStatus(s.store._path("t"))
+    before = len(files())
+    with pytest.raises(dml.ConstraintError):
+        s.run("INSERT INTO t VALUES (200, 5)")
+    assert len(files()) == before
+
+
 def test_recovery_orders_by_commit(spark):
     log = spark.createDataFrame([(1, 1, "k", "PUT", "a"), (2, 2, "k", "PUT", "b"), (3, 2, None, "COMMIT", None), (4, 1, None, "COMMIT", None), (5, 3, "k", "PUT", "lost")], "lsn long, txn long, k string, ty string, v string")
     st = recovery.transaction_states(log, F.when(F.col("ty") == "COMMIT", "C").otherwise("I"))
@@ -228,14 +305,21 @@ def test_registered_cycles_have_no_bound(spark):
         return False
 
     want = sorted(n for n in edges if reaches_itself(n))
-    got = sorted(r["node"] for r in core.queries()["q35b_wait_for_any_cycle"](spark, d).collect())
-    assert got == want and len(got) > core.queries()["q35_wait_for_cycle"](spark, d).count()
+    got = sorted(r["node"] for r in core.queries()["q35_wait_for_cycle"](spark, d).collect())
+    assert got == want and len(got) > graph.in_cycles(core._edges(spark, d), longest=3).count()
+
+
+def test_long_cycles(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(f"file://{tmp_path}")
+    ring = lambda first, n: [(first + i, first + (i + 1) % n) for i in range(n)]
+    e = spark.createDataFrame(ring(0, 4) + ring(100, 50) + [(3, 100), (149, 200), (200, 201)], "waiter long, holder long")
+    assert sorted(r["node"] for r in graph.in_cycles(e).collect()) == [*range(4), *range(100, 150)]
 
 
 def test_whole_scan_reads_every_table(spark):
     d = "/root/testdata/sf0.001"
     names = sorted(f.removesuffix(".parquet") for f in os.listdir(d) if f.endswith(".parquet"))
-    got = {r["table_name"]: r["count"] for r in core.queries()["q23b_whole_db_scan_all_tables"](spark, d).groupBy("table_name").count().collect()}
+    got = {r["table_name"]: r["count"] for r in core.queries()["q23_whole_db_scan"](spark, d).groupBy("table_name").count().collect()}
     assert got == {t: spark.read.parquet(f"{d}/{t}.parquet").count() for t in names}
 
 
@@ -246,6 +330,32 @@ def test_floor_rank_and_summary(spark):
     assert (r["n"], r["p50"], r["p95"], r["min"], r["max"]) == (256, 63.0, 121.0, 0.0, 127.0)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_percentiles_of_ranges(spark, seed):
+    """Against sorting, with outliers, ties, signs, infinities and a null group."""
+    rng = random.Random(seed)
+    values = {"u": [rng.random() * 1000 for _ in range(997)], "t": [1.0] * 500, None: [rng.gauss(0, 1e-3) for _ in range(301)], "e": [rng.choice([-1, 1]) * 10.0 ** rng.randrange(-300, 300) for _ in range(200)] + [float("inf"), float("-inf")], "one": [7.0]}
+    df = spark.createDataFrame([(g, v) for g, vs in values.items() for v in [*vs, None]], "g string, v double")
+    got = {r["g"]: r for r in latency.summary(df, "g", "v").collect()}
+    for g, vs in values.items():
+        vs = sorted(vs)
+        assert (got[g]["n"], got[g]["min"], got[g]["max"]) == (len(vs), vs[0], vs[-1])
+        assert [got[g][k] for k in latency.RANKS] == [vs[int((len(vs) - 1) * p)] for p in latency.RANKS.values()]
+    assert latency.summary(df.limit(0), "g", "v").count() == 0
+
+
+def test_fnv1a(spark):
+    def plain(b):
+        h = 0xCBF29CE484222325
+        for x in b:
+            h = (h ^ x) * 0x100000001B3 % 2**64
+        return h
+
+    texts = ["", "a", "foobar", "é日", "x" * 300, None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(scalars.fnv1a(F.col("t")).alias("h")).collect()
+    assert [(r["h"]["high"] << 32) + r["h"]["low"] for r in got] == [plain((t or "").encode()) for t in texts] and plain(b"foobar") == 0x85944171F73967E8
+
+
 def test_quorum(spark):
     a = spark.createDataFrame([(1, True), (1, False), (1, True), (2, True), (3, False), (3, True)], "txn long, ack boolean")
     got = {r["txn"]: r["ok"] for r in replication.outcomes(a).collect()}
@@ -270,6 +380,31 @@ def test_stream_replay_is_idempotent(spark, tmp_path):
     assert {x["key"]: x["value"] for x in q.view().collect()} == want
 
 
+def test_late_operations_and_reused_numbers(spark, tmp_path):
+    make = lambda part: spark.createDataFrame(part, "seq long, txn long, type string, key string, value string")
+    r = Replica(spark, f"file://{tmp_path}/r", compact_after=2)
+    r.apply(make([(5, 1, "COMMIT", None, None), (9, 2, "COMMIT", None, None), (8, 2, "PUT", "a", "second"), (12, 3, "ABORT", None, None)]), 0)
+    r.apply(make([(4, 1, "PUT", "a", "first"), (3, 1, "PUT", "b", "first"), (11, 3, "PUT", "b", "lost"), (20, 1, "PUT", "c", "again")]), 1)
+    assert {x["key"]: x["value"] for x in r.view().collect()} == {"a": "second", "b": "first"}
+    r.apply(make([(21, 1, "COMMIT", None, None), (7, 2, "DELETE", "b", None), (30, 1, "PUT", "c", "open")]), 2)
+    r.apply(make([(8, 2, "PUT", "a", "second")]), 3)
+    assert {x["key"]: x["value"] for x in r.view().collect()} == {"a": "second", "c": "again"}
+    _, (state, waiting, ends, _), _ = r._tables()
+    assert [x["seq"] for x in r.store.view(waiting).collect()] == [30] and r.store.view(ends).count() == 4 and len(state.batches) <= 2
+    short = Replica(spark, f"file://{tmp_path}/s", lateness=10)
+    short.apply(make([(5, 1, "COMMIT", None, None), (90, 2, "COMMIT", None, None)]), 0)
+    short.apply(make([(4, 1, "PUT", "a", "too late"), (89, 2, "PUT", "b", "in time")]), 1)
+    assert {x["key"]: x["value"] for x in short.view().collect()} == {"b": "in time"}
+
+
+def test_many_operations_of_one_transaction(spark, tmp_path):
+    many = 1_000_003
+    (tmp_path / "in.json").write_text('{"txn": 1, "ops": [' + ",".join('["w","k","%d"]' % i for i in range(many)) + ']}\n{"txn": 2, "ops": [["w", "k", "last"], ["r", "k", null]]}\n')
+    ops = oplog.read_ops(spark, f"{tmp_path}/in.json")
+    last = ops.orderBy(F.desc("seq")).limit(3).collect()
+    assert [(r["txn"], r["v"]) for r in last] == [(2, None), (2, "last"), (1, str(many - 1))] and ops.count() == many + 2
+
+
 def test_json_transactions(spark, tmp_path):
     (tmp_path / "in.json").write_text('{"txn": 1, "ops": [["r", "k", null], ["w", "k", "v"], ["r", "k", null]]}\n{"txn": 2, "ops": [["r", "k", null], ["x", "k", "1"]]}\n')
     seen = recovery.read_own_writes(oplog.read_ops(spark, f"{tmp_path}/in.json"))
