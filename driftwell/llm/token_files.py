@@ -17,13 +17,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._stage import fresh_path
+from ._stage import fresh_path, staged
 from ._tokens import encoder, vocabulary
 
 END_ID = 1
 ROWS = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 IDS = "ids.list.element"
 PART_BYTES = 32 << 20  # of text that a part holds, about
+BROADCAST_PARTS = 2_000_000
 
 
 def encode_documents(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
@@ -72,13 +73,15 @@ def read_tokens(spark: SparkSession, out: str, low: int | None = None, high: int
     """doc_id, start, n_tokens and ids of the documents from ``low`` to ``high``; the bounds reach the scan's page indexes.
 
     ``start`` counts the ids of all documents before. The sums by part that it needs are
-    one row for each file; whether the join broadcasts them goes by their size.
+    one row for each file; they are broadcast up to ``BROADCAST_PARTS`` of them.
     """
-    sums = read_metadata(spark, out).groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    sums = staged(read_metadata(spark, out).groupBy("part").agg(F.sum("n_tokens").alias("n")), "parts")
     bases = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     rows = spark.read.schema(ROWS).parquet(out)
     for c in ([F.col("doc_id") >= low] if low is not None else []) + ([F.col("doc_id") <= high] if high is not None else []):
         rows = rows.filter(c)
+    if sums.count() <= BROADCAST_PARTS:  # else the ids themselves would cross a shuffle
+        bases = F.broadcast(bases)
     return rows.join(bases, "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
