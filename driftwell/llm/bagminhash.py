@@ -13,7 +13,9 @@ others meet in the buckets of ``BANDS`` bands; nothing lists the pairs of a buck
 2. the members of buckets that still hold several components are joined exactly. By the
    prefix filter, similar documents share one of the rarest fifth of their shingles, so only
    documents that such shingles connect can be similar; each set of these (a family) is cut into
-   blocks of ``BLOCK`` shingles, and a task counts what the documents of two blocks share.
+   blocks of ``BLOCK`` shingles (smaller ones, of ``LITTLE``, up to ``SPREAD`` of them, so that a
+   family of middling size is more than one task's work), and a task counts what the documents
+   of two blocks share.
    It gives back the links that join components, at most one for each document.
 
 Every link comes from comparing the whole multisets. A pair at 0.8 shares no band with
@@ -36,7 +38,7 @@ from . import exact_dedup
 from ._stage import release, staged
 
 WORDS, BANDS, ROWS = 5, 36, 7
-BLOCK = 1_500_000
+BLOCK, LITTLE, SPREAD = 1_500_000, 60_000, 8
 POINTS = 30_000  # of all processes that a step of the signatures takes, where few are left
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -282,7 +284,9 @@ def _families(sets: DataFrame) -> DataFrame | None:
 def _family_links(sets: DataFrame, families: DataFrame) -> DataFrame:
     """(doc, lead) links that join components of a family."""
     own = staged(sets.join(families, "doc"), "family")
-    blocks = own.groupBy("family").agg(F.ceil(F.sum(F.size("tokens")) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    total = F.sum(F.size("tokens"))
+    number = F.greatest(F.ceil(total / F.lit(BLOCK)), F.least(F.ceil(total / F.lit(LITTLE)), F.lit(SPREAD)))
+    blocks = own.groupBy("family").agg(number.cast("int").alias("blocks"))
     own = own.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     dealt = own.withColumn("pair", F.explode(pair)).select("family", "pair.i", "pair.j", "block", "doc", "comp", "tokens")
