@@ -19,9 +19,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Stems that a worker keeps; beyond, the half used least lately goes.
-KEPT = 2_000_000
+KEPT = 250_000
 #: Bytes of text that go through at once.
-GROUP = 8_000_000
+GROUP = 4_000_000
 _LOADED: dict[str, CachedEncoder] = {}
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _PUNCTUATION = ".,;:!?"
