@@ -4,6 +4,13 @@ Each stage works on all that the one before kept, and its decisions take effect:
 documents and copies are gone, mixed documents come as often as the mix takes them, and the
 last stage lays out every token. Between stages the documents are written and read again,
 so no stage hangs on another's executors.
+
+Null and empty texts are documents like others: they are scored by the statistics of no
+characters, empty ones are copies of each other, have no near duplicates but each other, are
+never mixed in (they have no words). Null ids belong to their texts. Rows that repeat id and
+text count once from exact dedup on; rows that repeat an id with other texts are documents of
+their own. Without labels no document is rejected. An empty table gives an empty result. Other
+columns than those of documents stay with their rows up to the last stage.
 """
 
 from __future__ import annotations
