@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -77,6 +78,16 @@ def chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return empty, begin
 
 
+def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Where runs of texts of at most ``GROUP`` bytes begin, and how many texts they have; a longer text is a run of its own."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + GROUP, side="right")))
+        yield i, j - i
+        i = j
+
+
 class CachedEncoder:
     """``spaced``: the white space before a word belongs to its tokens (byte-level BPE); otherwise white space and case are dropped.
 
@@ -98,16 +109,21 @@ class CachedEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end (unsigned 32-bit), and where each text's begin (one more at the end)."""
-        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        ids, at, done, i = [np.empty(0, np.uint32)], [np.zeros(1, np.int64)], 0, 0
-        while i < len(texts):
-            j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + GROUP, side="right")))
-            x, a = self._group(texts.slice(i, j - i))
+        ids, at, done = [np.empty(0, np.uint32)], [np.zeros(1, np.int64)], 0
+        for i, n in _groups(texts):
+            x, a = self._group(texts.slice(i, n))
             ids.append(x)
             at.append(a[1:] + done)
-            done, i = done + len(x), j
+            done += len(x)
         return np.concatenate(ids), np.concatenate(at)
 
+    def slices(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        """A batch with a column ``text`` in slices of about ``GROUP`` bytes of it, each with what ``encode`` gives for its texts; what the last slice held is free by then."""
+        for i, n in _groups(batch.column("text")):
+            part = batch.slice(i, n)
+            yield part, *self._group(part.column("text"))
+        pa.default_memory_pool().release_unused()
+
     def _group(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         whole = np.zeros(len(texts), bool)
         for t in self.added:  # in any case, as a vocabulary may match after its normalizer

@@ -51,13 +51,12 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, end, n = encoder(path, spaced=True), np.array([end_id], "<u4"), 0
-        for b in batches:
-            ids, at = code.encode(b.column("text"))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        for b, ids, at in (x for batch in batches for x in code.slices(batch)):
             rows = []
             for d, i, j in zip(b.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                 raw, n = np.append(ids[i:j], end).tobytes(), n + 1
                 rows += ((d, n, k, s, m, zlib.crc32(raw[4 * s : 4 * (s + m)])) for k, (s, m) in enumerate(cut(j - i + 1, capacity)))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "row", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE)

@@ -32,8 +32,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part, before = encoder(path, spaced=False), TaskContext.get().partitionId(), 0
-        for b in batches:
-            ids, at = code.encode(b.column("text"))
+        for b, ids, at in (x for batch in batches for x in code.slices(batch)):
             ids = np.insert(ids.astype(np.int32), at[1:], end_id)
             at = at + np.arange(len(at))
             n = np.diff(at)
