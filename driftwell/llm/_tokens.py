@@ -118,7 +118,7 @@ class CachedEncoder:
         return np.concatenate(ids), np.concatenate(at)
 
     def slices(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-        """A batch with a column ``text`` in slices of about ``GROUP`` bytes of it, each with what ``encode`` gives for its texts; what the last slice held is free by then."""
+        """A batch with a column ``text`` in slices of about ``GROUP`` bytes of it (a longer text is a slice of its own), each with what ``encode`` gives for its texts; at most two are held at once."""
         for i, n in _groups(batch.column("text")):
             part = batch.slice(i, n)
             yield part, *self._group(part.column("text"))

@@ -568,3 +568,17 @@ def test_repeated_vectors_are_searched_once(spark, monkeypatch):
 def test_staged_tables_keep_schema(spark):
     df = spark.createDataFrame([(1, None)], "a int, b array<struct<x:long>>")
     assert staged(df, "t").schema == df.schema
+
+
+@pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_slices_give_the_ids_of_whole_texts(monkeypatch, name, spaced):
+    from tokenizers import Tokenizer
+
+    texts = ["a b", None, "", "long " * 50, "x <|endoftext|> y", "a b", None]
+    monkeypatch.setattr(_tokens, "GROUP", 12)
+    path = _tokens.vocabulary(name)
+    code, plain = _tokens.CachedEncoder(path, spaced), Tokenizer.from_file(path)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(7)), "text": pa.array(texts, pa.string())})
+    got = [(d, ids[i:j].tolist()) for b, ids, at in code.slices(batch) for d, i, j in zip(b.column("doc_id").to_pylist(), at[:-1], at[1:], strict=True)]
+    assert got == [(d, plain.encode(t or "", add_special_tokens=False).ids) for d, t in enumerate(texts)]
+    assert len(list(code.slices(batch))) > 2 and not list(code.slices(batch.slice(0, 0)))
