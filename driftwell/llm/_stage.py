@@ -7,12 +7,16 @@ blocks of an executor that may be lost.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +53,34 @@ def shipped(f):
     return run
 
 
+def give_back() -> None:
+    """Return to the system what the allocators of this process hold without use."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches, giving back what is free after each of them and at the end.
+
+    A worker outlives its task and waits for the next, perhaps beside a stage that has no
+    Python at all; it should not keep the memory of its largest batch meanwhile.
+    """
+
+    def kept_small(batches: Iterator) -> Iterator:
+        def each() -> Iterator:
+            for b in batches:
+                yield b
+                del b
+                give_back()
+
+        yield from run(each())
+        give_back()
+
+    return kept_small
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; one of our own only where that is unset and the master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import exact_dedup
-from ._stage import release, staged
+from ._stage import lean, release, staged
 
 WORDS, BANDS, ROWS = 5, 36, 7
 BLOCK, LITTLE, SPREAD = 1_500_000, 60_000, 8
@@ -176,7 +176,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))], ["doc_id", "digest", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, digest binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, digest binary, bands array<long>")
 
 
 def _tokens(values: np.ndarray) -> np.ndarray:
@@ -224,7 +224,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                         out.append((doc, lead))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["doc", "lead"])
 
-    return rows.select("lead", "doc", "first", "text").mapInArrow(run, "doc long, lead long")
+    return rows.select("lead", "doc", "first", "text").mapInArrow(lean(run), "doc long, lead long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -265,7 +265,7 @@ def _token_sets(open_docs: DataFrame, texts: DataFrame) -> DataFrame:
                 at = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("comp"), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))], ["doc", "comp", "tokens"])
 
-    rows = open_docs.join(texts, "doc").select("doc", "comp", "text").mapInArrow(run, "doc long, comp long, tokens array<long>")
+    rows = open_docs.join(texts, "doc").select("doc", "comp", "text").mapInArrow(lean(run), "doc long, comp long, tokens array<long>")
     return staged(rows, "tokens")
 
 
@@ -306,7 +306,7 @@ def _family_links(sets: DataFrame, families: DataFrame) -> DataFrame:
         if held:
             yield _joined(held)
 
-    return dealt.mapInArrow(run, "doc long, lead long")
+    return dealt.mapInArrow(lean(run), "doc long, lead long")
 
 
 def _joined(held: list[tuple]) -> pa.RecordBatch:

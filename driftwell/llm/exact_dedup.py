@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._stage import release, staged
+from ._stage import lean, release, staged
 
 SPACES = r"[\x20\x09-\x0D]+"
 SALTS = 64
@@ -167,8 +167,8 @@ def classes(digests: DataFrame) -> DataFrame:
     n = digests.count()
     tasks = max(1, min(int(digests.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // 20_000)), -(-n // OWNED))
     mapped = digests.select("digest", F.col("doc_id").alias("first"), F.lit(1).cast("long").alias("n"), F.expr("shiftleft(1L, salt)").alias("salts"))
-    partial = mapped.mapInPandas(_partial, "digest binary, first long, n long, salts long")
-    return partial.repartition(tasks, "digest").mapInPandas(_final, "digest binary, salt int, keep_id long, group_size long")
+    partial = mapped.mapInPandas(lean(_partial), "digest binary, first long, n long, salts long")
+    return partial.repartition(tasks, "digest").mapInPandas(lean(_final), "digest binary, salt int, keep_id long, group_size long")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

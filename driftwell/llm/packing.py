@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._stage import staged
+from ._stage import lean, staged
 from ._tokens import encoder, vocabulary
 
 CAPACITY, END_ID = 1024, 2
@@ -59,7 +59,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                 rows += ((d, n, k, s, m, zlib.crc32(raw[4 * s : 4 * (s + m)])) for k, (s, m) in enumerate(cut(j - i + 1, capacity)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "row", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), PIECE)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +117,7 @@ def pack(items: DataFrame, n_items: int, capacity: int = CAPACITY) -> DataFrame:
         groups = max(1, round(left / GROUP))
         part = F.pmod(F.xxhash64("doc_id", "row", F.lit(level)), F.lit(groups)).cast("long")
         dealt = rest.withColumn("part", part).repartition(groups, "part")
-        done = staged(dealt.mapInPandas(_pack(capacity, level), fields), f"packed{level}")
+        done = staged(dealt.mapInPandas(lean(_pack(capacity, level)), fields), f"packed{level}")
         before, left = left, done.filter("not settled").count() if groups > 1 else 0
         if groups == 1 or left > (1 - LEAST) * before:
             out.append(done.drop("settled"))

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._stage import hashed_sample
+from ._stage import hashed_sample, lean
 
 SAMPLE, FOLDS, THRESHOLD = 40_000, 4, 0.3
 _KINDS = ["lower", "upper", "digit", "space", "newline", "stop", "shout", "bar", "bracket", "symbol", "high"]
@@ -173,7 +173,7 @@ def features(docs: DataFrame) -> DataFrame:
             at = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(at, pa.array(x.ravel()))], ["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Qda | None:
@@ -209,7 +209,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
             s = model.value.score(statistics(b.column("text"))) if model.value else np.full(b.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], ["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, score double")
     held = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
@@ -218,10 +218,16 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are predicted good, with all their columns; the same text always fares alike. Without labels all stay."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, remainder(F.col("doc_id"), 5) != 0))
 
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in batches:
+            s = model.value.score(statistics(pa.array(text, pa.string()))) if model.value else np.ones(len(text))
+            yield pd.Series(s >= THRESHOLD)
+
+    kept = lean(run)
+
     @F.pandas_udf("boolean")
-    def good(text: pd.Series) -> pd.Series:
-        s = model.value.score(statistics(pa.array(text, pa.string()))) if model.value else np.ones(len(text))
-        return pd.Series(s >= THRESHOLD)
+    def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from kept(batches)
 
     return docs.filter(good("text"))
 

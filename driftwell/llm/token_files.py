@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._stage import fresh_path, staged
+from ._stage import fresh_path, lean, staged
 from ._tokens import encoder, vocabulary
 
 END_ID = 1
@@ -39,7 +39,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFr
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(before + at[:-1]), pa.array(n), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], ["doc_id", "part", "local_start", "n_tokens", "ids"])
             before += int(at[-1])
 
-    return docs.mapInArrow(run, ROWS)
+    return docs.mapInArrow(lean(run), ROWS)
 
 
 def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = END_ID, encoding: str = "dictionary", row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, page_rows: int = 2_000) -> None:
@@ -95,7 +95,7 @@ def checksums(tokens: DataFrame) -> DataFrame:
             n = np.diff(at).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return tokens.select("doc_id", "start", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return tokens.select("doc_id", "start", "ids").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_files(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from driftwell.llm import _tokens, ann_tree, chat_format, exact_dedup, mixing, packing, quality_qda, token_files, toxicity_gru
-from driftwell.llm._stage import fresh_path, staged
+from driftwell.llm._stage import fresh_path, lean, staged
 
 TEXTS = ["", " ", "  a", "a ", "a  b", "\n\na\n b \n", "x\t y", " a  ", "a\r\n b", "don't  'll 12 345", "a b　c  d", "İstanbul ÀÉ été DON'T. we'll, x.'s", "日本語。 テスト!", "a.b c..d ...e !?", "<|endoftext|> a", None, "word " * 3000]
 
@@ -582,3 +582,15 @@ def test_slices_give_the_ids_of_whole_texts(monkeypatch, name, spaced):
     got = [(d, ids[i:j].tolist()) for b, ids, at in code.slices(batch) for d, i, j in zip(b.column("doc_id").to_pylist(), at[:-1], at[1:], strict=True)]
     assert got == [(d, plain.encode(t or "", add_special_tokens=False).ids) for d, t in enumerate(texts)]
     assert len(list(code.slices(batch))) > 2 and not list(code.slices(batch.slice(0, 0)))
+
+
+def test_lean_tasks_give_what_they_gave(spark):
+    def twice(batches):
+        for b in batches:
+            yield b
+            yield b
+
+    assert list(lean(twice)(iter([1, 2, None]))) == [1, 1, 2, 2, None, None]
+    assert list(lean(twice)(iter([]))) == []
+    rows = spark.range(1000).repartition(3)
+    assert rows.mapInPandas(lean(twice), "id long").groupBy().sum("id").first()[0] == 999_000
