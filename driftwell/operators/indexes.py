@@ -85,20 +85,35 @@ def encoded(index: DataFrame) -> DataFrame:
 
 
 def decoded(entries: DataFrame) -> DataFrame:
-    """(value, part, pks) of ``encoded`` rows, the keys as text; bytes that end within a key are an error."""
-    h = F.hex("entry")
-    number = lambda at: F.conv(F.substring(h, at, 8), 16, 10).cast("int")
-    first = F.struct(F.lit(9).alias("at"), F.array().cast("array<string>").alias("keys"))
-
-    def step(s: Column, _: Column) -> Column:
-        n = number(s["at"])
-        key = F.unhex(F.substring(h, s["at"] + 8, 2 * n)).cast("string")
-        return F.struct((s["at"] + 8 + 2 * n).alias("at"), F.concat(s["keys"], F.array(key)).alias("keys"))
-
-    n = number(F.lit(1))
-    read = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), first, step)
-    whole = entries.select("value", "part", h.alias("_h"), read.alias("_r"))
-    return whole.select("value", "part", F.when(F.col("_r.at") == F.length("_h") + 1, F.col("_r.keys")).otherwise(F.raise_error(F.lit("an entry ends within a key"))).alias("pks"))
+    """(value, part, pks) of ``encoded`` rows, the keys as text; bytes that end within a key are an error.
+
+    A step of an aggregate copies all that it has gathered, and a row gives its bytes out as a copy. So the
+    entry is bound to a variable once, and a first pass finds where each block of keys begins, a second
+    reads the blocks; of n keys, a block has the cube root, so that copies grow with n^(4/3) at most.
+    """
+
+    def read(e: Column) -> Column:
+        number = lambda at: F.conv(F.hex(F.substring(e, at, F.lit(4))), 16, 10).cast("int")
+        n = F.least(number(F.lit(1)), F.floor(F.octet_length(e) / 4).cast("int"))  # more keys than that have no room
+        size = F.ceil(F.cbrt(n)).cast("int")
+        each = lambda begin: F.sequence(F.lit(1), F.least(size, n - begin))
+        begins = F.when(n > 0, F.sequence(F.lit(0), n - 1, size)).otherwise(F.array().cast("array<int>"))
+
+        def skip(s: Column, begin: Column) -> Column:
+            return F.struct(F.aggregate(each(begin), s["at"], lambda at, _: at + 4 + number(at)).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts"))
+
+        def key(s: Column, _: Column) -> Column:
+            length = number(s["at"])
+            return F.struct((s["at"] + 4 + length).alias("at"), F.concat(s["keys"], F.array(F.substring(e, s["at"] + 4, length).cast("string"))).alias("keys"))
+
+        def whole(s: Column) -> Column:
+            return F.when(s["at"] == F.octet_length(e) + 1, s["starts"]).otherwise(F.raise_error(F.lit("an entry ends within a key")))
+
+        starts = F.aggregate(begins, F.struct(F.lit(5).alias("at"), F.array().cast("array<int>").alias("starts")), skip, whole)
+        none = F.array().cast("array<string>").alias("keys")
+        return F.flatten(F.transform(starts, lambda at, k: F.aggregate(each(k * size), F.struct(at.alias("at"), none), key, lambda s: s["keys"])))
+
+    return entries.select("value", "part", F.transform(F.array("entry"), read)[0].alias("pks"))
 
 
 def lookup(index: DataFrame, value) -> DataFrame:

@@ -1,5 +1,6 @@
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -207,6 +208,24 @@ def test_postings_are_like_a_dict(spark, chunks):
     assert indexes.clear(index).count() == 0
 
 
+def test_long_lists_are_decoded_in_time(spark):
+    """Time follows the keys, here as many as a nation has at 60 times sf0.1."""
+    index = indexes.build(spark.range(36_000).withColumn("v", F.lit("a")), ["v"], "id")
+    coded = spark.createDataFrame(indexes.encoded(index).collect(), "value string, part int, entry binary")
+    began = time.time()
+    assert indexes.decoded(coded).first()["pks"] == [str(k) for k in range(36_000)]
+    assert time.time() - began < 20
+
+
+def test_lists_of_any_length_are_decoded(spark):
+    texts = {n: [("", "é", "key", "x" * 300)[k % 4] + str(k) * (k % 3) for k in range(n)] for n in (0, 1, 2, 7, 8, 9, 26, 27, 28, 1000)}
+    index = spark.createDataFrame([(n, 0, k) for n, k in texts.items()], "value int, part int, pks array<string>")
+    assert {r["value"]: r["pks"] for r in indexes.decoded(indexes.encoded(index)).collect()} == texts
+    for bad in (b"", b"\0\0\0\1", b"\0\0\0\1\0\0\0\2a", b"\0\0\0\1\0\0\0\1ab", b"\0\0\0\3\0\0\0\0\0\0\0\0", b"\x7f\xff\xff\xff\0\0\0\0"):
+        with pytest.raises(Exception, match="ends within a key"):
+            indexes.decoded(spark.createDataFrame([(1, 0, bad)], "value int, part int, entry binary")).collect()
+
+
 def test_written_postings_follow_the_table(s, spark):
     s.execute("CREATE TABLE t (id INT PRIMARY KEY, g TEXT, n INT); INSERT INTO t VALUES (1, 'a', 1), (2, 'b', 1), (3, NULL, 1); CREATE INDEX g ON t (g); CREATE INDEX gn ON t (g, n)")
     assert s.tables()["t"].indexes["g"].path and len(s.store.read_postings(s.tables()["t"], s.tables()["t"].indexes["g"]).collect()) == 2
