@@ -35,6 +35,16 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted(ours.columns) == sorted(theirs.columns) and rows(ours) == rows(theirs)
 
 
+@pytest.mark.parametrize("changed", ["* REPLACE (CASE WHEN o_orderkey = 7 THEN 'P' ELSE o_orderstatus END AS o_orderstatus) FROM o", "* FROM o WHERE o_orderkey <> 7", "* REPLACE (o_orderkey - 5 AS o_orderkey) FROM o WHERE o_orderstatus <> 'P'", "* FROM o WHERE false"])
+def test_conflicts_whatever_the_orders(spark, tmp_path, changed):
+    """Order 7 pending, or not there; keys below zero and nothing pending; no orders."""
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW o AS SELECT * FROM '{SF}/orders.parquet'")
+        c.execute(f"COPY (SELECT {changed}) TO '{tmp_path}/orders.parquet'")
+        c.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+        assert rows(core.queries()["q58_conflicts"](spark, str(tmp_path)).toPandas()) == rows(c.sql(core.oracle_sql()["q58_conflicts"]).df())
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
     assert math.isfinite(len(entry.queries()))
